@@ -1,0 +1 @@
+"""No streaming operators: every operator in scope is a batch operator (see README, "Scope")."""
