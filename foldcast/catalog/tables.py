@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldcast.functions import columns as C
-from foldcast.operators.series import SeriesSpec
-from foldcast.sources.bars import bars_from_ticks
+from foldcast.operators.baselines import naive_baseline
+from foldcast.operators.folds import FoldSpec, assign_test_folds
+from foldcast.operators.indicators import engineer_features
+from foldcast.operators.series import SeriesSpec, number_rows
+from foldcast.operators.stacking import align_predictions
+from foldcast.operators.windows import shift
+from foldcast.session import materialise
+from foldcast.sources.bars import bars_from_ticks, join_macro, prepare
 
 DAILY = SeriesSpec()
 HOURLY = SeriesSpec(unit="hour")
@@ -45,11 +51,57 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by day as three context series: mean price, its relative spread, share of finished orders."""
+    """Orders by day as three context series: mean price, its relative spread, share of finished orders.
+
+    The mean adds whole cents, which is exact in any order of summation.
+    """
     orders = table(spark, sf_dir, "orders")
     price = F.col("o_totalprice")
     return orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(
-        F.round(F.avg(price), 4).alias("SP500"),
+        (F.sum(F.round(price * 100).cast("long")) / (F.count(price) * 100.0)).alias("SP500"),
         F.round(C.ratio(100 * F.stddev_samp(price), F.avg(price)), 6).alias("VIX"),
         F.round(F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)), 6).alias("TNX_Yield"),
     )
+
+
+def numbered_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return number_rows(daily_bars(spark, sf_dir), DAILY)
+
+
+def hourly_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return number_rows(hourly_bars(spark, sf_dir), HOURLY)
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare(daily_bars(spark, sf_dir), macro(spark, sf_dir), DAILY, check=False)
+
+
+def raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of all rows, warm-up included."""
+    joined = join_macro(daily_bars(spark, sf_dir), macro(spark, sf_dir))
+    return engineer_features(materialise(joined), DAILY, fill=("SP500", "VIX", "TNX_Yield"))
+
+
+# Forecasts that need no fit, as stand-ins where an operator takes any set of base forecasts.
+PLAIN = {"last_pred": "last", "mean20_pred": "mean20", "mean50_pred": "mean50"}
+
+
+def plain_forecasts(feats: DataFrame, folds: FoldSpec = FoldSpec()) -> DataFrame:
+    """Last close, 20-day mean and 50-day mean of the day before as forecasts of each test day, in long form."""
+    lags = {"last_pred": ("close", 1), "mean20_pred": ("SMA_20", 1), "mean50_pred": ("SMA_50", 1), "origin_date": ("date", 1)}
+    moved = shift(feats.select("symbol", "date", "close", "SMA_20", "SMA_50", "rn", "n"), DAILY, lags)
+    rows = assign_test_folds(moved, folds).withColumn("y_true", F.col("close"))
+    base = rows.select("symbol", "fold_id", "origin_date", "date", "y_true", *PLAIN).withColumnsRenamed(PLAIN)
+    return base.unpivot(["symbol", "fold_id", "origin_date", "date", "y_true"], list(PLAIN.values()), "model", "y_pred")
+
+
+def plain_aligned(feats: DataFrame) -> DataFrame:
+    return align_predictions(plain_forecasts(feats), PLAIN)
+
+
+def naive_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naive_baseline(numbered_bars(spark, sf_dir), FoldSpec(), DAILY)
+
+
+def naive_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naive_baseline(hourly_numbered(spark, sf_dir), FoldSpec(200, 20, 20), HOURLY)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -129,3 +130,9 @@ def prepare(
     present = tuple(c for c in MACRO_COLUMNS if c in joined.columns)
     features = materialise(engineer_features(joined, spec, keep_block=True, fill=present, back_fill=back_fill))
     return drop_warmup(features, spec)
+
+
+def source_report(sources: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each source and whether it is empty."""
+    counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("source"), "rows", (F.col("rows") == 0).alias("empty")) for name, df in sources.items()]
+    return reduce(DataFrame.unionByName, counts)
