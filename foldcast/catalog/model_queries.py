@@ -595,7 +595,7 @@ def rep_actual_vs_pred(spark, sf):
 @query(
     "rep_residual_hist",
     with_(
-        """SELECT symbol, model, bin, count(*) AS n, round(min(lo + bin * (hi - lo) / 40), 4) AS bin_low, round(min(lo + (bin + 1) * (hi - lo) / 40), 4) AS bin_high
+        """SELECT symbol, model, bin, count(*) AS n, round(min(lo + bin * ((hi - lo) / 40)), 4) AS bin_low, round(min(lo + (bin + 1) * ((hi - lo) / 40)), 4) AS bin_high
         FROM (SELECT *, CAST(CASE WHEN hi > lo THEN least(39, floor((residual - lo) * 40 / (hi - lo))) ELSE 20 END AS INTEGER) AS bin
               FROM res JOIN (SELECT symbol, model, min(residual) AS lo, max(residual) AS hi FROM res GROUP BY symbol, model) USING (symbol, model)) GROUP BY symbol, model, bin""",
         "naive", res=RESIDUALS,

@@ -28,12 +28,15 @@ from foldcast.operators.windows import shift
 from foldcast.schema import PREDICTION_COLUMNS, feature_columns
 from foldcast.session import materialise
 
+# Training data per partition below which partitions are merged.
+TRAIN_PARTITION_BYTES = 64 * 1024 * 1024
+
 TREE, HUBER, FM = "Tree Ensemble", "Sequence Huber", "Sequence FM"
 
 
 @dataclass(frozen=True)
 class TreeConfig:
-    """Fixed values of the reference ensemble; fewer rounds for quick runs."""
+    """Sizes of both halves; fewer rounds for quick runs."""
 
     boost_rounds: int = 500
     boost_depth: int = 6
@@ -51,7 +54,8 @@ class TreeConfig:
 class SequenceConfig:
     time_step: int = 90
     max_iter: int = 100
-    reg: float = 0.01
+    reg: float = 1.0
+    fm_reg: float = 0.01
     epsilon: float = 1.35
     factor_size: int = 8
     step: float = 0.01
@@ -155,7 +159,14 @@ def _sequence_estimator(kind: str, cfg: SequenceConfig):
     common = {"featuresCol": "x", "labelCol": "target", "predictionCol": "guess"}
     if kind == HUBER:
         return LinearRegression(loss="huber", epsilon=cfg.epsilon, regParam=cfg.reg, maxIter=cfg.max_iter, **common)
-    return FMRegressor(factorSize=cfg.factor_size, stepSize=cfg.step, regParam=cfg.reg, maxIter=cfg.max_iter, seed=cfg.seed, **common)
+    return FMRegressor(factorSize=cfg.factor_size, stepSize=cfg.step, regParam=cfg.fm_reg, maxIter=cfg.max_iter, seed=cfg.seed, **common)
+
+
+def right_sized(train: DataFrame, rows: int, width: int) -> DataFrame:
+    """Fewer partitions for a small training set: an iterative fit runs one job per step over all of them."""
+    wanted = max(1, rows * width * 8 // TRAIN_PARTITION_BYTES)
+    shuffles = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return train.coalesce(wanted) if wanted < shuffles else train
 
 
 def _fold_sequences(rows: DataFrame, stats: DataFrame, names: list[str], time_step: int, test_end: int, spec: SeriesSpec) -> DataFrame:
@@ -186,7 +197,8 @@ def learn_sequence(
             continue
         fold_stats = stats.where(F.col("fold_id") == k)
         seqs = _fold_sequences(rows, fold_stats, names, cfg.time_step, test_end, spec)
-        train = seqs.where(F.col("cal") < train_end).select("x", "target").persist()
+        size = rows.where(F.col("cal") < train_end).count()
+        train = right_sized(seqs.where(F.col("cal") < train_end).select("x", "target"), size, len(names) * cfg.time_step).persist()
         try:
             model = Pipeline(stages=[_sequence_estimator(kind, cfg)]).fit(train)
         finally:
@@ -216,7 +228,7 @@ def tune_sequence(
     Returns the best configuration and a table of the trials. Candidates are a
     seeded sample of the grid.
     """
-    grid = grid or {"factor_size": [4, 8, 16], "step": [0.0005, 0.001, 0.005, 0.01], "reg": [0.0, 0.001, 0.01]}
+    grid = grid or {"factor_size": [4, 8, 16], "step": [0.0005, 0.001, 0.005, 0.01], "fm_reg": [0.0, 0.001, 0.01]}
     options = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     chosen = random.Random(cfg.seed).sample(options, min(trials, len(options)))
     names = feature_columns(features.columns, close_first=True)
@@ -226,7 +238,7 @@ def tune_sequence(
     stats = minmax_stats(on_calendar, folds, names).where("fold_id = 0")
     seqs = _fold_sequences(rows, stats, names, cfg.time_step, train_end, spec)
     inner_end = cfg.time_step + int((train_end - cfg.time_step) * 0.8)
-    seqs = seqs.select("cal", "x", "target").persist()
+    seqs = right_sized(seqs.select("cal", "x", "target"), rows.where(F.col("cal") < train_end).count(), len(names) * cfg.time_step).persist()
     results = []
     try:
         inner, later = seqs.where(F.col("cal") < inner_end), seqs.where(F.col("cal") >= inner_end)
