@@ -2,58 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldcast.operators.joins import attach
-from foldcast.operators.folds import FoldSpec, every_segment, train_totals
+from foldcast.operators.folds import FoldSpec, every_segment
 from foldcast.operators.series import running_totals
 
 
-def standard_stats(rows: DataFrame, folds: FoldSpec, features: list[str], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Mean and population deviation of each feature per fold: ``mean_<f>``, ``std_<f>`` (1 for a constant feature).
+def _segments_by_feature(rows: DataFrame, folds: FoldSpec, features: list[str], keys: list[str], kinds: dict[str, Callable]) -> DataFrame:
+    """Aggregates of each feature per segment between fold edges, one row per segment and feature.
 
-    Segments between fold edges are reduced to count, mean and squared spread,
-    then accumulated around the first segment's mean so that no digits are lost.
+    The rows are reduced in wide form, in one aggregate with a map-side combine;
+    only the few segment rows are turned to long form, which keeps the plan of
+    the accumulation small whatever the number of features.
     """
-    keys = list(keys)
     seg = rows.withColumn("fold_id", folds.segment(F.col("rn"))).groupBy(*keys, "fold_id").agg(
         F.max("n").alias("n"),
         F.count(F.lit(1)).cast("double").alias("_k"),
-        *[F.avg(f).alias(f"_m_{f}") for f in features],
-        *[(F.var_pop(f) * F.count(f)).alias(f"_v_{f}") for f in features],
+        *[make(F.col(f)).alias(f"_{kind}_{f}") for f in features for kind, make in kinds.items()],
     )
-    first = seg.groupBy(*keys).agg(*[F.min_by(f"_m_{f}", "fold_id").alias(f"_c_{f}") for f in features])
-    seg = every_segment(seg, folds, keys).join(first, keys)
-    k = F.col("_k")
-    totals: dict[str, tuple[str, Column]] = {"_total": ("sum", k)}
-    for f in features:
-        off = F.col(f"_m_{f}") - F.col(f"_c_{f}")
-        totals[f"_s1_{f}"] = ("sum", k * off)
-        totals[f"_s2_{f}"] = ("sum", F.col(f"_v_{f}") + k * off * off)
-    run = running_totals(seg, keys, "fold_id", totals)
-
-    def std(f: str) -> Column:
-        mean_off = F.col(f"_s1_{f}") / F.col("_total")
-        var = F.greatest(F.col(f"_s2_{f}") / F.col("_total") - mean_off * mean_off, F.lit(0.0))
-        return F.when(var > 0, F.sqrt(var)).otherwise(F.lit(1.0))
-
-    return run.select(
-        *keys, "fold_id",
-        *[(F.col(f"_c_{f}") + F.col(f"_s1_{f}") / F.col("_total")).alias(f"mean_{f}") for f in features],
-        *[std(f).alias(f"std_{f}") for f in features],
+    seg = every_segment(seg, folds, keys)
+    each = F.array(*[F.struct(*[F.col(f"_{kind}_{f}").cast("double").alias(kind) for kind in kinds]) for f in features])
+    return seg.select(*keys, "fold_id", "_k", F.posexplode(each).alias("_i", "_v")).select(*keys, "fold_id", "_k", "_i", "_v.*")
+
+
+def _wide(stats: DataFrame, features: list[str], keys: list[str], names: tuple[str, str]) -> DataFrame:
+    """One row per fold from one row per fold and feature."""
+    first, second = names
+    rows = stats.groupBy(*keys, "fold_id").agg(F.sort_array(F.collect_list(F.struct("_i", first, second))).alias("_all"))
+    picked = [F.col("_all")[i][name].alias(f"{name}_{f}") for name in names for i, f in enumerate(features)]
+    return rows.select(*keys, "fold_id", *picked)
+
+
+def standard_stats(rows: DataFrame, folds: FoldSpec, features: list[str], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Mean and population deviation of each feature per fold: ``mean_<f>``, ``std_<f>`` (1 for a constant feature).
+
+    Segments are accumulated around the first segment's mean so that no digits are lost.
+    """
+    keys = list(keys)
+    seg = _segments_by_feature(rows, folds, features, keys, {"m": F.avg, "v": lambda x: F.var_pop(x) * F.count(x)})
+    first = seg.groupBy(*keys, "_i").agg(F.min_by("m", F.when(F.col("m").isNotNull(), F.col("fold_id"))).alias("_c"))
+    seg = seg.join(first, [*keys, "_i"])
+    off = F.col("m") - F.col("_c")
+    run = running_totals(
+        seg, [*keys, "_i"], "fold_id",
+        {"_rows": ("sum", F.col("_k")), "_s1": ("sum", F.col("_k") * off), "_s2": ("sum", F.col("v") + F.col("_k") * off * off)},
     )
+    mean_off = F.col("_s1") / F.col("_rows")
+    var = F.greatest(F.col("_s2") / F.col("_rows") - mean_off * mean_off, F.lit(0.0))
+    stats = run.withColumns({"mean": F.col("_c") + mean_off, "std": F.when(var > 0, F.sqrt(var)).otherwise(F.lit(1.0))})
+    return _wide(stats, features, keys, ("mean", "std"))
 
 
 def minmax_stats(rows: DataFrame, folds: FoldSpec, features: list[str], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Minimum and range of each feature per fold: ``min_<f>``, ``range_<f>`` (1 for a constant feature)."""
-    wanted = {f"{kind}_{f}": (kind, F.col(f)) for f in features for kind in ("min", "max")}
-    totals = train_totals(rows, folds, wanted, keys)
-
-    def spread(f: str) -> Column:
-        width = F.col(f"max_{f}") - F.col(f"min_{f}")
-        return F.when(width > 0, width).otherwise(F.lit(1.0))
-
-    return totals.select(*keys, "fold_id", *[F.col(f"min_{f}") for f in features], *[spread(f).alias(f"range_{f}") for f in features])
+    keys = list(keys)
+    seg = _segments_by_feature(rows, folds, features, keys, {"lo": F.min, "hi": F.max})
+    run = running_totals(seg, [*keys, "_i"], "fold_id", {"min": ("min", F.col("lo")), "max": ("max", F.col("hi"))})
+    width = F.col("max") - F.col("min")
+    stats = run.withColumn("range", F.when(width > 0, width).otherwise(F.lit(1.0)))
+    return _wide(stats, features, keys, ("min", "range"))
 
 
 def standardise(f: str) -> Column:

@@ -15,6 +15,8 @@ def build_session(app: str = "foldcast", master: str | None = None, **conf: str)
         builder = builder.master(master)
     settings = {
         "spark.sql.session.timeZone": "UTC",
+        # Call-site capture on every column expression; halves the planning time of wide feature plans when off.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
