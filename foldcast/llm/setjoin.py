@@ -25,7 +25,7 @@ from foldcast.llm.words import as_long, batch_words, mix
 
 SHINGLE = 5
 CELL_BITS, CELL_BLOCK = 22, 1 << 18  # the count sketch: 4 M cells in 16 blocks, whatever the corpus
-BANDS, BLOCK, PREFIX_ROWS, REPRESENTATIVES = 6, 512, 2_000_000, 4
+BANDS, BLOCK, PREFIX_ROWS, REPRESENTATIVES = 6, 1024, 2_000_000, 8
 _SALT = mix(np.arange(1, 2 * BANDS + 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -55,16 +55,17 @@ def _band_keys(tokens: np.ndarray) -> list[int]:
 def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     """A row per document with its set's size and fingerprint, and rows of each task's share of the count sketch."""
     kind = docs.schema[key].dataType
-    names = ["key", "n", "f1", "f2", "cell_block", "cells"]
+    names = ["key", "n", "f1", "f2", "bands", "cell_block", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, any_row = np.zeros(1 << CELL_BITS, dtype=np.uint32), False
         for batch in batches:
             size = batch.num_rows
             n, f1, f2 = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
-            held, pending = [], 0
+            held, pending, bands = [], 0, [None] * size
             for row, tokens in shingle_sets(batch.column(text)):
                 n[row] = len(tokens)
+                bands[row] = _band_keys(tokens)
                 f1[row], f2[row] = fingerprint(tokens)
                 held.append(tokens)
                 pending += len(tokens)
@@ -75,13 +76,13 @@ def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                 cells += np.bincount((np.concatenate(held) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
             any_row = any_row or size > 0
             key_column = batch.column(key)
-            yield pa.RecordBatch.from_arrays([key_column, pa.array(n), pa.array(f1), pa.array(f2), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([key_column, pa.array(n), pa.array(f1), pa.array(f2), pa.array(bands, pa.list_(pa.int64())), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)
         if any_row:
             low = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELL_BLOCK)
             k = len(low)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, key_column.type), *(pa.nulls(k, pa.int64()) for _ in range(3)), pa.array(range(k), pa.int32()), pa.array([x.tobytes() for x in low], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, key_column.type), *(pa.nulls(k, pa.int64()) for _ in range(3)), pa.nulls(k, pa.list_(pa.int64())), pa.array(range(k), pa.int32()), pa.array([x.tobytes() for x in low], pa.binary())], names=names)
 
-    return docs.select(key, text).mapInArrow(run, f"key {kind.simpleString()}, n long, f1 long, f2 long, cell_block int, cells binary")
+    return docs.select(key, text).mapInArrow(run, f"key {kind.simpleString()}, n long, f1 long, f2 long, bands array<long>, cell_block int, cells binary")
 
 
 def _frequency_classes(sketches: DataFrame) -> np.ndarray:
@@ -104,10 +105,10 @@ def _frequency_classes(sketches: DataFrame) -> np.ndarray:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """Documents joined with (key, f1, cid): broadcast when the counted rows are few enough, else shuffled by key."""
+    """Texts with the columns of ``wanted`` (key, f1, cid, ...): broadcast when its counted rows are few enough, else shuffled by key."""
     small = wanted.count() <= BROADCAST_KEYS
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return rows.join(F.broadcast(wanted) if small else wanted.hint("merge"), F.col("_key").eqNullSafe(F.col("key"))).select("_text", "f1", "cid")
+    return rows.join(F.broadcast(wanted) if small else wanted.hint("merge"), F.col("_key").eqNullSafe(F.col("key"))).select("_text", *(c for c in wanted.columns if c != "key"))
 
 
 def prefix_size(n: int | np.ndarray):
@@ -115,68 +116,83 @@ def prefix_size(n: int | np.ndarray):
 
 
 def _prefixes(rows: DataFrame, classes) -> DataFrame:
-    """(token, cid) of every class's prefix."""
+    """(token, cid, n) of every class's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = classes.value
         for batch in batches:
             f1, cid = batch.column("f1").to_numpy(), batch.column("cid").to_numpy()
-            out, owner = [], []
+            out, owner, sizes = [], [], []
             for row, tokens in shingle_sets(batch.column("_text")):
                 if fingerprint(tokens)[0] != f1[row]:
                     continue
                 size = prefix_size(len(tokens))
+                sizes.append(np.full(size, len(tokens), dtype=np.int32))
                 rank = weight[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                 own = tokens[np.lexsort((tokens, rank))[:size]]
                 out.append(as_long(own))
                 owner.append(np.full(size, cid[row]))
-            tokens, owners = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out, owner))
-            for i in range(0, len(tokens), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[i : i + 100_000]), pa.array(owners[i : i + 100_000])], names=["token", "cid"])
+            if out:
+                columns = [np.concatenate(x) for x in (out, owner, sizes)]
+                for i in range(0, len(columns[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=["token", "cid", "n"])
 
-    return rows.mapInArrow(run, "token long, cid long")
+    return rows.mapInArrow(run, "token long, cid long, n int")
 
 
 def _shared_tokens(prefixes: DataFrame, partitions: int) -> DataFrame:
-    """The (token, cid) whose token is in the prefix of two classes or more; most tokens are not, and stop here."""
+    """(token, cid, n, low, high) of prefix tokens that another class of a size that may link also has in its prefix.
+
+    ``low`` and ``high`` are the least and greatest such sizes. Most tokens stop here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("token").to_numpy(), b.column("cid").to_numpy()) for b in batches]
+        held = [tuple(b.column(c).to_numpy() for c in ("token", "cid", "n")) for b in batches]
         if not held:
             return
-        token, cid = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        token, cid, n = (np.concatenate([h[i] for h in held]) for i in range(3))
         held.clear()
-        order = np.lexsort((cid, token))
-        token, cid = token[order], cid[order]
+        order = np.lexsort((cid, n, token))
+        token, cid, n = token[order], cid[order], n[order].astype(np.int64)
         new = np.append(True, (token[1:] != token[:-1]) | (cid[1:] != cid[:-1]))
-        token, cid = token[new], cid[new]
-        same = token[1:] == token[:-1]
-        many = np.append(same, False) | np.append(False, same)
-        token, cid = token[many], cid[many]
-        for i in range(0, len(token), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(token[i : i + 100_000]), pa.array(cid[i : i + 100_000])], names=["token", "cid"])
-
-    return prefixes.repartition(partitions, "token").mapInArrow(run, "token long, cid long")
+        token, cid, n = token[new], cid[new], n[new]
+        many = np.append(token[1:] == token[:-1], False)
+        many[1:] |= many[:-1].copy()
+        token, cid, n = token[many], cid[many], n[many]
+        # Rows stand by token and size, so partners of a size that may link are a range around each row.
+        where = np.cumsum(np.append(0, token[1:] != token[:-1])) if len(token) else token
+        wide = 1 << 32
+        line = where * wide + n
+        first = np.searchsorted(line, where * wide + -(-3 * n // 4), "left")
+        last = np.searchsorted(line, where * wide + 4 * n // 3, "right") - 1
+        at = np.arange(len(n))
+        low, high = n[np.minimum(first + (first == at), max(len(n) - 1, 0))], n[last - (last == at)] if len(n) else n
+        met = last > first
+        columns = [x[met] for x in (token, cid, n, low, high)]
+        for i in range(0, len(columns[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=["token", "cid", "n", "low", "high"])
+
+    return prefixes.repartition(partitions, "token").mapInArrow(run, "token long, cid long, n long, low long, high long")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(cid, n, tokens, bands) of the wanted classes."""
+    """(cid, block, alone, tokens) of the wanted classes; rows repeat where documents do, which no later step minds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f1, cid = batch.column("f1").to_numpy(), batch.column("cid").to_numpy()
-            ids, sets, bands = [], [], []
+            f1 = batch.column("f1").to_numpy()
+            rows_kept, sets = [], []
             for row, tokens in shingle_sets(batch.column("_text")):
                 if fingerprint(tokens)[0] == f1[row]:
-                    ids.append(cid[row]), sets.append(as_long(tokens)), bands.append(_band_keys(tokens))
+                    rows_kept.append(row), sets.append(as_long(tokens))
+            kept = pa.array(rows_kept, pa.int64())
             edges = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(np.diff(edges).astype(np.int64)), pa.ListArray.from_arrays(pa.array(edges), pa.array(values)), pa.array(bands, pa.list_(pa.int64()))],
-                names=["cid", "n", "tokens", "bands"],
+                [*(batch.column(c).take(kept) for c in ("cid", "block", "alone")), pa.ListArray.from_arrays(pa.array(edges), pa.array(values))], names=["cid", "block", "alone", "tokens"]
             )
 
-    return rows.mapInArrow(run, "cid long, n long, tokens array<long>, bands array<long>").dropDuplicates(["cid"])
+    return rows.mapInArrow(run, "cid long, block long, alone boolean, tokens array<long>")
 
 
 def overlaps(sets: list[np.ndarray], n_left: int) -> np.ndarray:
@@ -247,9 +263,20 @@ def _least_common(nx: Column, ny: Column) -> Column:
     return F.ceil(3 * (nx + ny) / 7) - (F.ceil(0.75 * F.greatest(nx, ny)) - 1) - 2
 
 
-def _grouped(sets: DataFrame) -> DataFrame:
+def _need(n: str, low: str, high: str) -> Column:
+    """The least count of shared prefix tokens over partner sizes from low to high, cut to sizes that may link; it is least at an end."""
+    n, low, high = F.col(n), F.greatest(F.col(low), F.ceil(0.75 * F.col(n))), F.least(F.col(high), F.floor(4 * F.col(n) / 3))
+    return F.when(low > high, F.lit(2**31)).otherwise(F.greatest(F.lit(1), F.least(_least_common(n, low), _least_common(n, high))))
+
+
+def _narrow_join(df: DataFrame, narrow: DataFrame, how: str = "inner") -> DataFrame:
+    """Join by cid with a stored table of narrow rows: broadcast when its counted rows are few enough, else shuffled."""
+    return df.join(F.broadcast(narrow) if narrow.count() <= BROADCAST_KEYS else narrow.hint("merge"), "cid", how)
+
+
+def _grouped(classes: DataFrame) -> DataFrame:
     """(cid, n, block): similar classes in one group, by two rounds of least labels over minhash bands; large groups cut by hash."""
-    bands = stored(sets.select("cid", F.explode("bands").alias("band")), "join-bands")
+    bands = stored(classes.select("cid", F.explode("bands").alias("band")), "join-bands")
     labels = bands.select("cid", F.col("cid").alias("label")).distinct()
     for _ in range(2):
         low = bands.join(labels, "cid").groupBy("band").agg(F.min("label").alias("label"))
@@ -257,7 +284,7 @@ def _grouped(sets: DataFrame) -> DataFrame:
     labels = stored(labels, "join-groups")
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
     part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / BLOCK))
-    return sets.select("cid", "n").join(labels, "cid").join(sizes, "label").select("cid", "n", F.col("label").alias("grp"), "m", F.xxhash64("label", part).alias("block"))
+    return classes.select("cid", "n").join(labels, "cid").join(sizes, "label").select("cid", "n", F.col("label").alias("grp"), "m", F.xxhash64("label", part).alias("block"))
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,53 +292,61 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     need_columns(docs, key, text)
     spark = docs.sparkSession
     sketches = stored(_sketches(docs, key, text).withColumn("rid", F.monotonically_increasing_id()), "join-sketches")
-    rows = sketches.where("cell_block IS NULL").select("key", "n", "f1", "f2", "rid")
+    rows = sketches.where("cell_block IS NULL").select("key", "n", "f1", "f2", "rid", "bands")
     classes = stored(
-        rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("cid"), F.min_by("key", "rid").alias("rep"), F.min("key").alias("least")),
+        rows.where("n > 0").groupBy("n", "f1", "f2").agg(
+            F.min("rid").alias("cid"), F.min_by("key", "rid").alias("rep"), F.min("key").alias("least"), F.min_by("bands", "rid").alias("bands")
+        ),
         "join-classes",
-    )
+    )
     weights = spark.sparkContext.broadcast(_frequency_classes(sketches))
     wanted = classes.select(F.col("rep").alias("key"), "f1", "cid")
     total = classes.agg(F.sum(F.col("n") - F.ceil(0.75 * F.col("n")) + 1)).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PREFIX_ROWS))
     shared = stored(_shared_tokens(_prefixes(_texts_of(docs, wanted, key, text), weights), partitions), "join-shared")
-    active = stored(wanted.join(shared.select("cid").distinct(), "cid", "left_semi"), "join-active")
-    sets = stored(_sets(_texts_of(docs, active, key, text)), "join-sets")
-    placed = stored(_grouped(sets), "join-placed")
+
+    # Classes that share enough prefix tokens with others of a size that may link; the rest have no link.
+    reach = shared.groupBy("cid").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    active = stored(reach.where(F.col("c") >= _need("n", "low", "high")).select("cid"), "join-active")
+    shared = stored(_narrow_join(shared.select("token", "cid"), active, "left_semi"), "join-active-tokens")
+    placed = stored(_grouped(_narrow_join(classes.select("cid", "n", "bands"), active, "left_semi")), "join-placed")
+    filled = placed.groupBy("block").agg((F.count(F.lit(1)) == 1).alias("alone"))
+    chosen = stored(wanted.join(placed.select("cid", "block"), "cid").join(filled, "block").select("key", "f1", "cid", "block", "alone"), "join-chosen")
+    sets = stored(_sets(_texts_of(docs, chosen, key, text)), "join-sets")
 
     # Inside blocks.
-    filled = placed.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    own = sets.select("cid", "tokens").join(placed.join(filled, "block", "left_semi").select("cid", "block"), "cid")
-    local = stored(own.groupBy("block").applyInArrow(lambda t: _join_block(t), "cid long, label long"), "join-local")
+    schema = "cid long, label long"
+    local = stored(sets.where("NOT alone").groupBy("block").applyInArrow(lambda t: _join_block(t), schema).distinct(), "join-local")
     # A few of each local component of groups with several blocks meet once more, so that a large group of copies is one.
     info = placed.join(local, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    many = info.where(F.col("m") > BLOCK)
-    few = many.groupBy("grp", "block", "label").agg(F.slice(F.array_sort(F.collect_set("cid")), 1, REPRESENTATIVES).alias("some"))
-    few = few.select("grp", "label", F.explode("some").alias("cid"))
+    some = F.slice(F.array_sort(F.collect_set("cid")), 1, REPRESENTATIVES)
+    few = info.where(F.col("m") > BLOCK).groupBy("grp", "block", "label").agg(some.alias("some")).select("grp", "label", F.explode("some").alias("cid"))
     fit = few.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).alias("parts"))
     few = stored(few.join(fit, "grp").select("cid", "label", F.xxhash64("grp", F.pmod(F.xxhash64("label"), F.col("parts"))).alias("block")), "join-few")
-    met = stored(sets.select("cid", "tokens").join(few.select("cid", "block"), "cid").groupBy("block").applyInArrow(lambda t: _join_block(t), "cid long, label long"), "join-met")
+    met = stored(_narrow_join(sets.select("cid", "tokens"), few.select("cid", "block")).groupBy("block").applyInArrow(lambda t: _join_block(t), schema).distinct(), "join-met")
     merged = few.join(met.withColumnRenamed("label", "met"), "cid").groupBy("label").agg(F.min("met").alias("met"))
-    known = stored(info.join(merged, "label", "left").select("cid", "n", "block", F.coalesce("met", "label").alias("comp")), "join-known")
+    known = info.join(merged, "label", "left").select("cid", "n", "block", F.coalesce("met", "label").alias("comp"))
+    heavy = known.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
+    known = stored(known.join(heavy, "comp").select("cid", "n", "block", F.struct("weight", "comp").alias("comp")), "join-known")
 
     # Across blocks: the token-group matrix of tokens that unconnected classes share.
-    heavy = known.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
-    cells = shared.join(known.join(heavy, "comp"), "cid")
-    apart = stored(cells.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token"), "join-apart")
+    cells = _narrow_join(shared, known)
+    apart = cells.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("block").alias("one"), F.max("block").alias("other"))
+    apart = stored(apart.where("low != high AND one != other").select("token"), "join-apart")
     cells = stored(cells.join(apart, "token", "left_semi"), "join-cells")
-    matrix = cells.groupBy("token", "block", "comp", "weight").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
+    matrix = cells.groupBy("token", "block").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("comp").alias("heaviest"))
     q, g = cells.alias("q"), matrix.alias("g")
-    lighter = F.struct("q.weight", "q.comp") < F.struct("g.weight", "g.comp")
-    low, high = F.greatest(F.min("g.n_low"), F.ceil(0.75 * F.first("q.n"))), F.least(F.max("g.n_high"), F.floor(F.first("q.n") / 0.75))
-    bound = q.join(g, (F.col("q.token") == F.col("g.token")) & lighter & (F.col("g.n_high") >= F.floor(0.75 * F.col("q.n"))) & (0.75 * F.col("g.n_low") <= F.col("q.n"))).groupBy(F.col("q.cid").alias("cid"), F.col("g.block").alias("block")).agg(
-        F.count(F.lit(1)).alias("c"), F.first("q.n").alias("n"), low.alias("low"), high.alias("high")
+    # Of two unconnected classes the one in the lighter component asks the block of the other.
+    asking = (F.col("q.block") != F.col("g.block")) & (F.col("q.comp") < F.col("g.heaviest"))
+    sized = (4 * F.col("g.n_high") >= 3 * F.col("q.n")) & (3 * F.col("g.n_low") <= 4 * F.col("q.n"))
+    bound = q.join(g, (F.col("q.token") == F.col("g.token")) & asking & sized).groupBy(F.col("q.cid").alias("cid"), F.col("g.block").alias("block")).agg(
+        F.count(F.lit(1)).alias("c"), F.first("q.n").alias("n"), F.min("g.n_low").alias("low"), F.max("g.n_high").alias("high")
     )
-    need = F.greatest(F.lit(1), F.least(_least_common(F.col("n"), F.col("low")), _least_common(F.col("n"), F.col("high"))))
-    opened = stored(bound.where((F.col("low") <= F.col("high")) & (F.col("c") >= need)).select("cid", "block"), "join-opened")
+    opened = stored(bound.where(F.col("c") >= _need("n", "low", "high")).select("cid", "block"), "join-opened")
     load = opened.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).alias("parts"))
     asks = opened.join(load, "block").select("cid", "block", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"), F.lit(True).alias("asks"))
     members = known.join(load, "block").select("cid", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
-    meet = sets.select("cid", "tokens").join(asks.unionByName(members), "cid")
+    meet = _narrow_join(sets.select("cid", "tokens"), stored(asks.unionByName(members), "join-meet"))
     crossed = meet.groupBy("block", "part").applyInArrow(lambda t: _join_opened(t), "a long, b long")
 
     edges = crossed.unionByName(local.select(F.col("cid").alias("a"), F.col("label").alias("b"))).unionByName(met.select(F.col("cid").alias("a"), F.col("label").alias("b")))
@@ -319,7 +354,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     final = classes.join(labels, F.col("cid") == F.col("v"), "left").select("n", "f1", "f2", "least", F.coalesce("label", "cid").alias("label"))
     lowest = final.groupBy("label").agg(F.min("least").alias("component"))
     of_class = final.join(lowest, "label").select("n", "f1", "f2", "component")
-    return rows.join(of_class, ["n", "f1", "f2"], "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    return rows.drop("bands").join(of_class, ["n", "f1", "f2"], "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
