@@ -113,8 +113,8 @@ END_TYPE = TYPES - 1
 def lookup_table(counts: DataFrame, size: int = LOOKUP, head: int = HEAD) -> tuple[Lookup, int]:
     """The lookup table, and the least count of a word with a type of its own."""
     head_from = cutoff(counts.where(F.col("word") != END), head)
-    rows = counts.where((F.col("n") >= cutoff(counts, size)) & (F.col("word") != END)).select("word", "n").orderBy("word").toPandas()
-    word, n = rows["word"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    rows = counts.where((F.col("n") >= cutoff(counts, size)) & (F.col("word") != END)).select("word", "n").orderBy("word").toArrow()
+    word, n = rows.column("word").to_numpy(), rows.column("n").to_numpy()
     own = np.full(len(word), -1, dtype=np.int64)
     own[n >= head_from] = np.arange((n >= head_from).sum())
     return Lookup(word, n, own), head_from
@@ -223,8 +223,8 @@ def train_class_model(docs: DataFrame, text: str = "text") -> tuple[ClassModel,
     n, v = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
     table, head_from = lookup_table(counts)
     pairs = np.zeros((TYPES, TYPES))
-    got = stored(type_pairs(docs, table, text), "lm-pairs").toPandas()
-    pairs[got["before"].to_numpy(), got["after"].to_numpy()] = got["n"].to_numpy()
+    got = stored(type_pairs(docs, table, text), "lm-pairs").toArrow()
+    pairs[got.column("before").to_numpy(), got.column("after").to_numpy()] = got.column("n").to_numpy()
     own = exchange(pairs)
     of_type = np.bincount(own, minlength=CLASSES)
     tokens = pairs.sum(axis=0)

@@ -193,10 +193,10 @@ def apply_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     need_columns(docs, key, text)
     stats = stored(text_statistics(docs.select(key, text), text).withColumn("base_failed", hard_fail()), "rule-statistics")
     passing = stats.where(~F.col("base_failed"))
-    grown_on = passing.orderBy(F.xxhash64(F.col(key)), *COUNTS).limit(sample).select(*_STATS.names).toPandas()
-    if grown_on.empty:
+    grown_on = passing.orderBy(F.xxhash64(F.col(key)), *COUNTS).limit(sample).select(*_STATS.names).toArrow()
+    if grown_on.num_rows == 0:
         return stats.withColumn("anomaly", F.lit(0.0)).withColumn("kept", ~F.col("base_failed"))
-    forest = IsolationForest.grow(features({c: grown_on[c].to_numpy() for c in _STATS.names}), trees)
+    forest = IsolationForest.grow(features({c: grown_on.column(c).to_numpy() for c in _STATS.names}), trees)
     scored = anomaly(forest, stats)
     good = labels.where(F.col("quality") == 1).select(key).distinct()
     threshold = scored.where(~F.col("base_failed")).join(good, key, "left_semi").agg(F.percentile_approx("anomaly", keep_good, 10_000)).first()[0]
