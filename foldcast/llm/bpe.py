@@ -26,7 +26,7 @@ from foldcast.llm.shared import need_columns
 WHITE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
-KNOWN_WORDS = 800_000  # words kept with their ids in each Python worker; only speed depends on it
+KNOWN_WORDS = 600_000  # words kept with their ids in each Python worker; only speed depends on it
 
 
 def byte_letters() -> list[str]:

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Long texts make batches large; bounded ones keep a Python worker's memory even.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

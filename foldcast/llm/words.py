@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+# Workers live on between tasks; memory of finished batches goes back to the system at once.
+pa.set_memory_pool(pa.system_memory_pool())
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
