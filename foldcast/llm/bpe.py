@@ -26,7 +26,7 @@ from foldcast.llm.shared import need_columns
 WHITE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
-KNOWN_WORDS = 600_000  # words kept with their ids in each Python worker; only speed depends on it
+KNOWN_WORDS = 100_000  # words kept with their ids in a task, and as many that were met before those; only speed depends on it
 
 
 def byte_letters() -> list[str]:
@@ -57,6 +57,7 @@ class TokenAutomaton:
         self.special_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
         self.letters = byte_letters()
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _gadget(self, rank: int, a: int, b: int, ab: int) -> None:
         self.closed[a, b] = rank
@@ -118,31 +119,40 @@ class TokenAutomaton:
                 path.pop()
                 upto = ends.pop() - 1
 
+    def _keep(self, word: str, found: tuple[int, ...]) -> tuple[int, ...]:
+        if len(self.words) >= KNOWN_WORDS:
+            self.older, self.words = self.words, {}
+            if len(self.arcs) > 4 * KNOWN_WORDS:
+                self.arcs = {}
+        self.words[word] = found
+        return found
+
+    def forget(self) -> None:
+        """Give the memory of met words and arcs back."""
+        self.words, self.older, self.arcs = {}, {}, {}
+
     def _piece(self, piece: str) -> tuple[int, ...]:
         # A piece is also a word on its own: lower case, with nothing to cut.
         found = self.words.get(piece)
         if found is None:
-            found = self.words[piece] = self.encode_piece(piece)
+            found = self.older.get(piece)
+            found = self._keep(piece, self.encode_piece(piece) if found is None else found)
         return found
 
     def encode_word(self, word: str) -> tuple[int, ...]:
-        found = self.words.get(word)
+        found = self.older.get(word)
         if found is None:
             if word.isascii():
                 lowered = word.lower()
             else:  # letter by letter, as lower-casing here knows no neighbours
                 lowered = "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
-            if len(self.words) >= KNOWN_WORDS:
-                self.words.clear()
-                self.arcs.clear()
             if lowered.isalpha():
                 found = self._piece(lowered)
             elif lowered[:-1].isalpha() and lowered[-1] in ".,":
                 found = self._piece(lowered[:-1]) + self._piece(lowered[-1])
             else:
                 found = tuple([i for p in PIECES.findall(lowered) for i in self._piece(p)])
-            self.words[word] = found
-        return found
+        return self._keep(word, found)
 
     def encode(self, text: str) -> array:
         out = array("i")
@@ -157,9 +167,9 @@ class TokenAutomaton:
 
     def _plain(self, text: str, out: array) -> None:
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        known, encode_word = self.words.get, self.encode_word
+        encode_word = self.encode_word
         for w in WHITE.split(text) if odd else text.split():
-            out.extend(known(w) or encode_word(w))
+            out.extend(self.words.get(w) or encode_word(w))
 
     def decode(self, ids) -> str:
         return " ".join([self.labels[i] for i in ids])
@@ -174,7 +184,7 @@ def load_automaton(path: str) -> TokenAutomaton:
     return TokenAutomaton(spec["model"]["vocab"], merges, {t["content"]: t["id"] for t in spec["added_tokens"]})
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, fn) -> DataFrame:
+def _with_column(df: DataFrame, name: str, kind: T.DataType, vocabulary: str, fn) -> DataFrame:
     """``df`` with one more column, computed batch by batch; a column of that name is replaced."""
     kept = df.drop(name)
     names, schema = kept.columns, T.StructType([*kept.schema.fields, T.StructField(name, kind)])
@@ -182,6 +192,7 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, fn) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), fn(batch)], names=[*names, name])
+        load_automaton(vocabulary).forget()
 
     return df.mapInArrow(run, schema)
 
@@ -197,7 +208,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> Da
         values = np.concatenate([np.frombuffer(r, dtype=np.int32) for r in rows if r] or [np.zeros(0, dtype=np.int32)])
         return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, pa.int32()))
 
-    return _with_column(docs, "ids", T.ArrayType(T.IntegerType()), fn)
+    return _with_column(docs, "ids", T.ArrayType(T.IntegerType()), vocabulary, fn)
 
 
 def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -208,7 +219,7 @@ def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids") -> Data
         automaton = load_automaton(vocabulary)
         return pa.array([automaton.decode(r or ()) for r in batch.column(ids).to_pylist()], pa.string())
 
-    return _with_column(docs, "decoded", T.StringType(), fn)
+    return _with_column(docs, "decoded", T.StringType(), vocabulary, fn)
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
