@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from foldcast.llm.shared import need_columns
+from foldcast.llm.words import release_memory
 
 # White space and pieces of a text, as the vocabulary file states them.
 WHITE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -184,47 +185,52 @@ def load_automaton(path: str) -> TokenAutomaton:
     return TokenAutomaton(spec["model"]["vocab"], merges, {t["content"]: t["id"] for t in spec["added_tokens"]})
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, vocabulary: str, fn) -> DataFrame:
-    """``df`` with one more column, computed batch by batch; a column of that name is replaced."""
-    kept = df.drop(name)
-    names, schema = kept.columns, T.StructType([*kept.schema.fields, T.StructField(name, kind)])
+def _ids(rows: list[array]) -> pa.Array:
+    edges = np.cumsum([0, *map(len, rows)])
+    values = np.concatenate([np.frombuffer(r, dtype=np.int32) for r in rows if r] or [np.zeros(0, dtype=np.int32)])
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, pa.int32()))
+
+
+def _with_columns(df: DataFrame, added: dict[str, T.DataType], vocabulary: str, fn) -> DataFrame:
+    """``df`` with more columns, computed batch by batch; columns of these names are replaced."""
+    kept = df.drop(*added)
+    names, schema = kept.columns, T.StructType([*kept.schema.fields, *(T.StructField(n, k) for n, k in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = load_automaton(vocabulary)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), fn(batch)], names=[*names, name])
-        load_automaton(vocabulary).forget()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *fn(automaton, batch)], names=schema.names)
+        automaton.forget()
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``: the token ids of each whole text, without markers around it."""
+def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids``: the token ids of each whole text, without markers around it; also what they decode to, if asked."""
     need_columns(docs, text)
 
-    def fn(batch: pa.RecordBatch) -> pa.Array:
-        automaton = load_automaton(vocabulary)
+    def fn(automaton: TokenAutomaton, batch: pa.RecordBatch) -> list[pa.Array]:
         rows = [automaton.encode(t or "") for t in batch.column(text).to_pylist()]
-        edges = np.cumsum([0, *map(len, rows)])
-        values = np.concatenate([np.frombuffer(r, dtype=np.int32) for r in rows if r] or [np.zeros(0, dtype=np.int32)])
-        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, pa.int32()))
+        return [_ids(rows), pa.array([automaton.decode(r) for r in rows], pa.string())] if decoded else [_ids(rows)]
 
-    return _with_column(docs, "ids", T.ArrayType(T.IntegerType()), vocabulary, fn)
+    added: dict[str, T.DataType] = {"ids": T.ArrayType(T.IntegerType())}
+    return _with_columns(docs, {**added, "decoded": T.StringType()} if decoded else added, vocabulary, fn)
 
 
 def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """``docs`` with ``decoded``: the labels of the arcs along each row of ids, special ones included."""
     need_columns(docs, ids)
 
-    def fn(batch: pa.RecordBatch) -> pa.Array:
-        automaton = load_automaton(vocabulary)
-        return pa.array([automaton.decode(r or ()) for r in batch.column(ids).to_pylist()], pa.string())
+    def fn(automaton: TokenAutomaton, batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([automaton.decode(r or ()) for r in batch.column(ids).to_pylist()], pa.string())]
 
-    return _with_column(docs, "decoded", T.StringType(), vocabulary, fn)
+    return _with_columns(docs, {"decoded": T.StringType()}, vocabulary, fn)
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encode, decode, and reduce both to a count and two digests per document; one output row per input row."""
-    both = decode_documents(encode_documents(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids"), vocabulary)
+    both = encode_documents(docs.select("doc_id", "text"), vocabulary, decoded=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

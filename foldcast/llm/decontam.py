@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from foldcast.llm.shared import need_columns
-from foldcast.llm.words import Words, mix, text_buffer, row_blocks
+from foldcast.llm.words import Words, mix, release_memory, row_blocks, text_buffer
 
 OVERLAP, ANSWER_OVERLAP, SHINGLE = 0.75, 0.5, 5
 K1, B = 1.2, 0.75
@@ -188,6 +188,7 @@ class BenchmarkIndex:
                             best[r, item] = max(best.get((r, item), (0.0, 0.0, 0.0)), (share, answer, score))
             for (r, item), (share, answer, score) in sorted(best.items()):
                 yield first + r, self.item[item], score, share, answer
+        release_memory()
 
 
 def index_segments(benchmark: DataFrame, item: str = "item_id", text: str = "text", words: int = SEGMENT_WORDS) -> Iterator[BenchmarkIndex]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from foldcast.llm.shared import hashed_fold, keyed, need_columns, stored
-from foldcast.llm.words import row_blocks, text_buffer
+from foldcast.llm.words import release_memory, row_blocks, text_buffer
 
 CHUNK, STEP = 512, 448
 SAMPLE, CHUNKS, THRESHOLD, FOLDS = 1500, 4, 0.3, 5
@@ -139,6 +139,7 @@ class ByteNet:
             start, row = chunk_starts(part)
             tops = [self.pooled(chunk_bytes(data, part, start[i : i + 1024], row[i : i + 1024]), tables) for i in range(0, len(row), 1024)]
             out[first:last] = self.combine(np.concatenate(tops), row, last - first)[0]
+        release_memory()
         return 1 / (1 + np.exp(-np.clip(out + self.shift, -40, 40)))
 
 

@@ -69,11 +69,11 @@ def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                 f1[row], f2[row] = fingerprint(tokens)
                 held.append(tokens)
                 pending += len(tokens)
-                if pending > 1_000_000:
-                    cells += np.bincount((np.concatenate(held) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
+                if pending > 200_000:
+                    np.add.at(cells, (np.concatenate(held) >> np.uint64(64 - CELL_BITS)).astype(np.int64), np.uint32(1))
                     held, pending = [], 0
             if held:
-                cells += np.bincount((np.concatenate(held) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
+                np.add.at(cells, (np.concatenate(held) >> np.uint64(64 - CELL_BITS)).astype(np.int64), np.uint32(1))
             any_row = any_row or size > 0
             key_column = batch.column(key)
             yield pa.RecordBatch.from_arrays([key_column, pa.array(n), pa.array(f1), pa.array(f2), pa.array(bands, pa.list_(pa.int64())), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)

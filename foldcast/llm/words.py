@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 # Workers live on between tasks; memory of finished batches goes back to the system at once.
 pa.set_memory_pool(pa.system_memory_pool())
 _SPACE = np.zeros(256, dtype=bool)
@@ -111,6 +112,14 @@ def batch_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int
     data, edges = text_buffer(column)
     for first, last in row_blocks(edges):
         yield first, last, Words(data[edges[first] : edges[last]], edges[first : last + 1] - edges[first], lower)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Let the C library return freed pages, where it can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def as_long(x: np.ndarray) -> np.ndarray:
