@@ -35,8 +35,8 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the text that decoding gives back."""
-    encoded = bpe.encode_documents(docs.drop("n_chars"), VOCABULARY)
-    return bpe.decode_documents(encoded, VOCABULARY).drop("text").withColumn("n_tokens", F.size("ids").cast("long"))
+    encoded = bpe.encode_documents(docs.drop("n_chars"), VOCABULARY, decoded=True)
+    return encoded.drop("text").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
