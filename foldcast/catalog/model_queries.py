@@ -611,7 +611,7 @@ def rep_forecast_band(spark, sf):
     return rounded(R.forecast_band(_bounded(spark, sf)), 4, "lower", "upper")
 
 
-_bars = " UNION ALL ".join(f"SELECT symbol, model, '{c}' AS metric, {c} AS value FROM m" for c in R.BAR_METRICS)
+_bars = " UNION ALL ".join(f"SELECT symbol, model, '{c}' AS metric, {c} AS value FROM m" for c in ("directional_accuracy", "f1", "rmse", "mae", "mape"))
 
 
 @query("rep_metric_bars", with_(_bars, "long", m=metrics_sql("long", False)))

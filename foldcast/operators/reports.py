@@ -8,7 +8,7 @@ from foldcast.operators.joins import attach
 from foldcast.operators.metrics import COUNTS
 
 # Metrics shown as bars.
-BAR_METRICS = ["directional_accuracy", "f1", "rmse", "mae", "r2"]
+BAR_METRICS = ["directional_accuracy", "f1", "rmse", "mae", "mape"]
 
 
 def actual_vs_predicted(wide: DataFrame, models: list[str]) -> DataFrame:

@@ -42,17 +42,25 @@ def standard_stats(rows: DataFrame, folds: FoldSpec, features: list[str], keys:
     Segments are accumulated around the first segment's mean so that no digits are lost.
     """
     keys = list(keys)
-    seg = _segments_by_feature(rows, folds, features, keys, {"m": F.avg, "v": lambda x: F.var_pop(x) * F.count(x)})
+    seg = _segments_by_feature(rows, folds, features, keys, {"m": F.avg, "v": lambda x: F.var_pop(x) * F.count(x), "c": F.count, "lo": F.min, "hi": F.max})
     first = seg.groupBy(*keys, "_i").agg(F.min_by("m", F.when(F.col("m").isNotNull(), F.col("fold_id"))).alias("_c"))
     seg = seg.join(first, [*keys, "_i"])
     off = F.col("m") - F.col("_c")
     run = running_totals(
         seg, [*keys, "_i"], "fold_id",
-        {"_rows": ("sum", F.col("_k")), "_s1": ("sum", F.col("_k") * off), "_s2": ("sum", F.col("v") + F.col("_k") * off * off)},
+        {
+            "_rows": ("sum", F.col("c")), "_s1": ("sum", F.col("c") * off), "_s2": ("sum", F.col("v") + F.col("c") * off * off),
+            "_lo": ("min", F.col("lo")), "_hi": ("max", F.col("hi")),
+        },
     )
-    mean_off = F.col("_s1") / F.col("_rows")
-    var = F.greatest(F.col("_s2") / F.col("_rows") - mean_off * mean_off, F.lit(0.0))
-    stats = run.withColumns({"mean": F.col("_c") + mean_off, "std": F.when(var > 0, F.sqrt(var)).otherwise(F.lit(1.0))})
+    mean_off = F.try_divide(F.col("_s1"), F.col("_rows"))
+    var = F.greatest(F.try_divide(F.col("_s2"), F.col("_rows")) - mean_off * mean_off, F.lit(0.0))
+    # A constant feature is told by its extremes, which are exact; its mean is that constant.
+    varies = (F.col("_lo") < F.col("_hi")) & (var > 0)
+    stats = run.withColumns({
+        "mean": F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_c") + mean_off),
+        "std": F.when(varies, F.sqrt(var)).otherwise(F.lit(1.0)),
+    })
     return _wide(stats, features, keys, ("mean", "std"))
 
 

@@ -171,8 +171,10 @@ def test_scalers_use_training_rows_only(spark, feats):
 
 
 def test_constant_feature_scales_by_one(spark, feats):
-    flat = feats.withColumn("flat", F.lit(3.0))
-    assert {r.std_flat for r in standard_stats(flat, FOLDS, ["flat"]).collect()} == {1.0}
+    flat = feats.withColumns({"flat": F.lit(3.0), "tenth": F.lit(0.1), "price": F.lit(1234.56), "odd": F.lit(4.37)})
+    for r in standard_stats(flat, FOLDS, ["flat", "tenth", "price", "odd"]).collect():
+        assert (r.std_flat, r.std_tenth, r.std_price, r.std_odd) == (1.0, 1.0, 1.0, 1.0)
+        assert (r.mean_tenth, r.mean_price) == (0.1, 1234.56)
     assert {r.range_flat for r in minmax_stats(flat, FOLDS, ["flat"]).collect()} == {1.0}
 
 
