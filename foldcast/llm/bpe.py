@@ -27,7 +27,8 @@ from foldcast.llm.words import release_memory
 WHITE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
-KNOWN_WORDS = 100_000  # words kept with their ids in a task, and as many that were met before those; only speed depends on it
+ROWS = 200  # texts encoded together
+KNOWN_WORDS = 50_000  # words kept with their ids in a task, and as many that were met before those; only speed depends on it
 
 
 def byte_letters() -> list[str]:
@@ -199,7 +200,9 @@ def _with_columns(df: DataFrame, added: dict[str, T.DataType], vocabulary: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = load_automaton(vocabulary)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *fn(automaton, batch)], names=schema.names)
+            for first in range(0, batch.num_rows, ROWS):  # few texts are open as Python values at a time
+                part = batch.slice(first, ROWS)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *fn(automaton, part)], names=schema.names)
         automaton.forget()
         release_memory()
 
