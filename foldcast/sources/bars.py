@@ -44,6 +44,8 @@ def bars_from_ticks(ticks: DataFrame, unit: str = "day") -> DataFrame:
 
     ``ticks`` has symbol, ts, price, volume and an integer ``seq`` that orders
     the ticks of a unit; of ticks with equal ``seq`` the lower price comes first.
+    NULL prices and ticks without ``seq`` are passed over where others are at
+    the same end; NULL symbols and dates make bars of their own.
 
     Both aggregates keep only fixed-width state, so they are hash aggregates
     with a map-side combine. The second one takes the price at the first and
@@ -63,17 +65,26 @@ def bars_from_ticks(ticks: DataFrame, unit: str = "day") -> DataFrame:
     )
     ranges = materialise(ranges)
     if ranges.count() > EDGE_BARS:
-        pair = F.struct("seq", "price")
-        prices = keyed.groupBy("symbol", "date").agg(F.min(pair).price.alias("open"), F.max(pair).price.alias("close"))
-        return ranges.join(prices, ["symbol", "date"]).select(*BAR_SCHEMA.names)
+        # NULLs sort first: the flag puts a NULL price last at the opening, and at the close it is last as it is.
+        first = F.min(F.when(F.col("seq").isNotNull(), F.struct("seq", F.col("price").isNull().alias("none"), "price")))
+        last = F.max(F.when(F.col("seq").isNotNull(), F.struct("seq", "price")))
+        prices = keyed.groupBy("symbol", "date").agg(first.price.alias("open"), last.price.alias("close"))
+        return _same_bars(ranges, prices).select(*BAR_SCHEMA.names)
     ends = ranges.select("symbol", "date", "_first", "_last")
-    edge = keyed.select("symbol", "date", "price", "seq").join(F.broadcast(ends), ["symbol", "date"])
+    edge = _same_bars(keyed.select("symbol", "date", "price", "seq"), F.broadcast(ends), "inner")
     edge = edge.where((F.col("seq") == F.col("_first")) | (F.col("seq") == F.col("_last")))
     prices = edge.groupBy("symbol", "date").agg(
         F.min(F.when(F.col("seq") == F.col("_first"), F.col("price"))).alias("open"),
         F.max(F.when(F.col("seq") == F.col("_last"), F.col("price"))).alias("close"),
     )
-    return ranges.join(prices, ["symbol", "date"]).select(*BAR_SCHEMA.names)
+    return _same_bars(ranges, prices).select(*BAR_SCHEMA.names)
+
+
+def _same_bars(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Join on symbol and date, NULLs equal to each other; the keys of the left side stay."""
+    other = right.withColumnsRenamed({"symbol": "_symbol", "date": "_date"})
+    same = F.col("symbol").eqNullSafe(F.col("_symbol")) & F.col("date").eqNullSafe(F.col("_date"))
+    return left.join(other, same, how).drop("_symbol", "_date")
 
 
 def macro_wide(index_bars: DataFrame, names: dict[str, str] = MACRO_SYMBOLS) -> DataFrame:

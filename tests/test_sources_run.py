@@ -32,6 +32,18 @@ def test_bars_from_ticks_both_ways(spark, monkeypatch, limit):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_bars_with_nulls_both_ways(spark, monkeypatch, limit):
+    monkeypatch.setattr(SB, "EDGE_BARS", limit)
+    rows = [
+        ("A", 5.0, 1), ("A", None, 1), ("A", 7.0, None), ("A", 6.0, 3), ("A", None, 3),
+        (None, 2.0, 4), (None, 3.0, 2), ("B", 9.0, None), ("C", None, 1), ("C", 8.0, 2),
+    ]
+    df = spark.createDataFrame(rows, "symbol string, price double, seq long").selectExpr("symbol", "timestamp'2024-01-01 10:00:00' AS ts", "price", "1.0D AS volume", "seq")
+    got = {r.symbol: (r.open, r.high, r.low, r.close, r.volume) for r in SB.bars_from_ticks(df).collect()}
+    assert got == {"A": (5.0, 7.0, 5.0, 6.0, 5.0), None: (3.0, 3.0, 2.0, 2.0, 2.0), "B": (None, 9.0, 9.0, None, 1.0), "C": (None, 8.0, 8.0, 8.0, 2.0)}
+
+
 def test_stored_bars_push_filters(spark):
     path = scratch_path(spark, "bars")
     spark.createDataFrame(bars(50)).write.parquet(path)
