@@ -67,9 +67,11 @@ def ewm_in_blocks(blocked: DataFrame, spec: SeriesSpec, outputs: dict[str, tuple
 
     Inside a sub-block of 256 rows the recurrence is a running sum of
     x * b**-j scaled back by b**j (b = 1 - a). The value at the end of the
-    sub-block before, rebuilt from the last three sub-blocks, is then decayed
-    into the rows that follow. Every window shares one partitioning and sort.
+    sub-block before, rebuilt from as many sub-blocks as the longest span
+    remembers and one more, is then decayed into the rows that follow. Every
+    window shares one partitioning and sort. The layout's halo must reach as far.
     """
+    depth = 1 + max([ewm_halo(span) for _, span in outputs.values()], default=EWM_HALO) // SUB_BLOCK
     j = F.col("rn") % SUB_BLOCK
     inside, along = sub_window(spec), halo_window(spec)
     first, second, third = [], [], []
@@ -80,7 +82,7 @@ def ewm_in_blocks(blocked: DataFrame, spec: SeriesSpec, outputs: dict[str, tuple
         term = weight * F.col(column) * F.pow(F.lit(b), -j)
         total = F.sum(term).over(inside.rowsBetween(UNBOUNDED, 0))
         first.append((total * F.pow(F.lit(b), j)).alias(f"_part_{out}"))
-        ends = [F.lag(f"_part_{out}", 1 + i * SUB_BLOCK).over(along) for i in range(3)]
+        ends = [F.lag(f"_part_{out}", 1 + i * SUB_BLOCK).over(along) for i in range(depth)]
         carry = sum((C.or_default(e, 0.0) * F.lit(b ** (i * SUB_BLOCK)) for i, e in enumerate(ends)), F.lit(0.0))
         second.append(carry.alias(f"_edge_{out}"))
         carried = F.first(f"_edge_{out}").over(inside.rowsBetween(UNBOUNDED, 0))
@@ -90,11 +92,9 @@ def ewm_in_blocks(blocked: DataFrame, spec: SeriesSpec, outputs: dict[str, tuple
 
 
 def ewm(df: DataFrame, spec: SeriesSpec, outputs: dict[str, tuple[str, int]]) -> DataFrame:
-    """Exponential means of a numbered series."""
-    too_long = [span for _, span in outputs.values() if ewm_halo(span) > EWM_HALO]
-    if too_long:
-        raise ValueError(f"spans {too_long} need more than {EWM_HALO} rows of history; the carry covers spans up to 26")
-    return drop_halo(ewm_in_blocks(with_halo(df, spec, before=EWM_HALO), spec, outputs))
+    """Exponential means of a numbered series, of any span from 2 up; the halo grows with the longest."""
+    halo = max([ewm_halo(span) for _, span in outputs.values()], default=EWM_HALO)
+    return drop_halo(ewm_in_blocks(with_halo(df, spec, before=halo), spec, outputs))
 
 
 def running_sum(df: DataFrame, spec: SeriesSpec, column: str, out: str) -> DataFrame:

@@ -107,8 +107,9 @@ def test_window_primitives_across_blocks(spark):
     got = collect(windows.rolling(rows, SMALL, {"lo": ("min", "close", 30), "hi": ("max", "close", 14)}), "date")
     np.testing.assert_allclose(got.lo.astype(float), c.rolling(30).min())
     np.testing.assert_allclose(got.hi.astype(float), c.rolling(14).max())
-    with pytest.raises(ValueError):
-        windows.ewm(rows, SMALL, {"e": ("close", 200)})
+    for span in (9, 50, 200):
+        got = collect(windows.ewm(rows, SMALL, {"e": ("close", span)}), "date").e
+        np.testing.assert_allclose(got, c.ewm(span=span, adjust=False).mean(), rtol=1e-12)
 
 
 def test_hourly_blocks(spark):
