@@ -572,8 +572,8 @@ def forecast_recursive(spark, sf):
     return forecast.forecast_recursive(feats, tree, 5).unionByName(forecast.forecast_recursive(feats, linear, 5))
 
 
-@query("full_run")
-def full_run(spark, sf):
+@query("pipeline_run")
+def pipeline_run(spark, sf):
     config = RunConfig(future_days=3, folds=ONE_FOLD, tree=SMALL_TREE, sequence=SMALL_SEQUENCE, clf_rounds=8)
     return run_all(T.daily_bars(spark, sf), T.macro(spark, sf), config).comparison
 

@@ -14,7 +14,7 @@ from foldcast.operators.folds import FoldSpec, assign_test_folds, drop_no_target
 from foldcast.operators.indicators import drop_warmup, engineer_features
 from foldcast.operators.stacking import simple_average
 from foldcast.schema import BAR_SCHEMA, ENGINEERED, MACRO_COLUMNS, feature_columns
-from foldcast.session import scratch_path
+from foldcast.session import materialise, scratch_path
 from foldcast.sources import bars as B, sinks
 
 OHLCV = "symbol, date, open, high, low, close, volume"
@@ -183,7 +183,7 @@ def clean_nonfinite(spark, sf):
     ),
 )
 def default_cols(spark, sf):
-    out = engineer_features(T.daily_bars(spark, sf).drop("volume"), T.DAILY)
+    out = engineer_features(materialise(T.daily_bars(spark, sf).drop("volume")), T.DAILY)
     assert not {"VIX_Change", "Corr_SP500_20"} & set(out.columns)
     return rounded(out.select("symbol", "date", "SMA_20", "EMA_12", "OBV", "Volume_Ratio"), 4, "SMA_20", "EMA_12")
 

@@ -41,9 +41,9 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "hbars": (
         [],
-        """SELECT symbol, date, first(price ORDER BY seq, price) AS open, max(price) AS high, min(price) AS low,
-           last(price ORDER BY seq, price) AS close, CAST(count(*) AS DOUBLE) AS volume
-           FROM (SELECT event_type AS symbol, date_trunc('hour', ts) AS date, value AS price, epoch_us(ts) AS seq FROM events)
+        """SELECT symbol, date, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low,
+           last(price ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume
+           FROM (SELECT event_type AS symbol, date_trunc('hour', ts) AS date, value AS price, ts, event_id FROM events)
            GROUP BY symbol, date""",
     ),
     "macro": (

@@ -39,13 +39,15 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as ticks: value by hour, one symbol per event type, volume counts the events."""
+    """Events as ticks: value by hour, one symbol per event type, volume counts the events, in order of time and event."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(19,0)")
     ticks = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"),
         "ts",
         F.col("value").alias("price"),
         F.lit(1.0).alias("volume"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"),
+        # Both keys in one fixed-width number: the time, then 16 digits of the event.
+        (micros * F.lit(10**16).cast("decimal(17,0)") + F.col("event_id").cast("decimal(16,0)")).alias("seq"),
     )
     return bars_from_ticks(ticks, "hour")
 
@@ -65,11 +67,12 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return number_rows(daily_bars(spark, sf_dir), DAILY)
+    """Daily bars with positions; the bars are written once, as rows and block totals both come from them."""
+    return number_rows(materialise(daily_bars(spark, sf_dir)), DAILY)
 
 
 def hourly_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return number_rows(hourly_bars(spark, sf_dir), HOURLY)
+    return number_rows(materialise(hourly_bars(spark, sf_dir)), HOURLY)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

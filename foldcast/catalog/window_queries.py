@@ -25,7 +25,7 @@ def join_macro_query(spark, sf):
 
 @query("fill_macro", with_("SELECT symbol, date, SP500, VIX, TNX_Yield, rn, n FROM filled", "filled"))
 def fill_macro_query(spark, sf):
-    return fill_macro(join_macro(T.daily_bars(spark, sf), T.macro(spark, sf))).select("symbol", "date", "SP500", "VIX", "TNX_Yield", "rn", "n")
+    return fill_macro(materialise(join_macro(T.daily_bars(spark, sf), T.macro(spark, sf)))).select("symbol", "date", "SP500", "VIX", "TNX_Yield", "rn", "n")
 
 
 @query(
@@ -135,10 +135,10 @@ def win_rolling_corr(spark, sf):
     return rounded(out.select("symbol", "date", "corr_20"), 6, "corr_20")
 
 
-@query("win_ewm", with_(f"SELECT symbol, date, round({ewm('close', 12)}, 6) AS ewm_12, round({ewm('close', 26)}, 6) AS ewm_26, round({ewm('close', 9)}, 6) AS ewm_9 FROM hnbars", "hnbars"))
+@query("win_ewm", with_(f"SELECT symbol, date, round({ewm('close', 12)}, 6) AS ewm_12, round({ewm('close', 26)}, 6) AS ewm_26, round({ewm('close', 9)}, 6) AS ewm_9, round({ewm('close', 50)}, 6) AS ewm_50 FROM hnbars", "hnbars"))
 def win_ewm(spark, sf):
-    out = windows.ewm(T.hourly_numbered(spark, sf), T.HOURLY, {f"ewm_{k}": ("close", k) for k in (12, 26, 9)})
-    return rounded(out.select("symbol", "date", "ewm_12", "ewm_26", "ewm_9"), 6, "ewm_12", "ewm_26", "ewm_9")
+    out = windows.ewm(T.hourly_numbered(spark, sf), T.HOURLY, {f"ewm_{k}": ("close", k) for k in (12, 26, 9, 50)})
+    return rounded(out.select("symbol", "date", "ewm_12", "ewm_26", "ewm_9", "ewm_50"), 6, "ewm_12", "ewm_26", "ewm_9", "ewm_50")
 
 
 @query("win_cumsum", with_(f"SELECT symbol, date, sum(volume) OVER ({W} ROWS UNBOUNDED PRECEDING) AS total FROM nbars", "nbars"))
@@ -148,7 +148,7 @@ def win_cumsum(spark, sf):
 
 @query("win_fill", with_("SELECT symbol, date, VIX FROM filled", "filled"))
 def win_fill(spark, sf):
-    joined = join_macro(T.daily_bars(spark, sf), T.macro(spark, sf)).select("symbol", "date", "VIX")
+    joined = materialise(join_macro(T.daily_bars(spark, sf), T.macro(spark, sf)).select("symbol", "date", "VIX"))
     return windows.fill_gaps(joined, T.DAILY, ("VIX",)).select("symbol", "date", "VIX")
 
 

@@ -18,6 +18,7 @@ from foldcast.schema import PREDICTION_COLUMNS
 # Executors need not have this package installed: its small solvers travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Labels of the baselines.
 NAIVE = "Naive (Zero-Change)"
 ARIMA = "ARIMA (5,1,0)"
 

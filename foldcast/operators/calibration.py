@@ -79,6 +79,7 @@ def with_interval(preds: DataFrame, offsets: DataFrame, vix: DataFrame, pred: st
 
 
 def coverage_flag(coverage: Column) -> Column:
+    # Bounds and labels.
     return (
         F.when(coverage < 0.90, "[!] UNDER-COVERED")
         .when(coverage > 0.97, "[!] OVER-COVERED")

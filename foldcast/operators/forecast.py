@@ -161,6 +161,10 @@ def forecast_recursive(features: DataFrame, run: LearnerRun, count: int = 30) ->
 
     Exponential means and the volume balance continue from their values on the
     last bar. Each step is cut off by a checkpoint of one row per symbol.
+
+    A symbol with fewer rows than a step looks back on (50, or the window of a
+    sequence model), or without a scaler because the last fold did not train on
+    it, keeps its last close on every day.
     """
     state = forecast_state(features, run.features, run.time_step)
     stats = run.last_stats.drop("fold_id")
@@ -169,14 +173,20 @@ def forecast_recursive(features: DataFrame, run: LearnerRun, count: int = 30) ->
             "symbol", "min_close", "range_close",
             F.array(*[f"min_{f}" for f in run.features]).alias("_mins"), F.array(*[f"range_{f}" for f in run.features]).alias("_ranges"),
         )
-    state = attach(state, stats, ["symbol"])
-    state = materialise(state.withColumns({"_days": business_days(F.to_date("date"), count), "_path": F.array().cast("array<double>")}))
+    state = attach(state, stats, ["symbol"], "left")
+    full = (F.size("_c") == TAILS["_c"][1]) & F.col("min_close" if run.time_step else "std_close").isNotNull()
+    full = full & (F.size("_win") == run.time_step) if run.time_step else full
+    state = state.withColumns({"_days": business_days(F.to_date("date"), count), "_path": F.array().cast("array<double>"), "_full": full})
+    state = materialise(state)
+    kept = state.where(~F.col("_full")).select("symbol", "_days", F.array_repeat(F.col("close").cast("double"), count).alias("_path"))
+    state = state.where("_full").drop("_full")
     for i in range(count):
         scored = _score(state, run)
         scored = scored.withColumn("_path", F.concat("_path", F.array("_guess")))
         state = materialise(advance(scored, F.col("_guess"), F.col("_days")[i], run.features, run.time_step).drop("_guess"))
     steps = F.posexplode(F.arrays_zip("_days", "_path")).alias("step", "_at")
-    return state.select("symbol", F.lit(run.model_name).alias("model"), steps).select(
+    done = state.select("symbol", "_days", "_path").unionByName(kept)
+    return done.select("symbol", F.lit(run.model_name).alias("model"), steps).select(
         "symbol", "model", "step", F.col("_at._days").alias("date"), F.col("_at._path").alias("y_pred")
     )
 

@@ -22,6 +22,7 @@ from foldcast.session import materialise
 # Executors need not have this package installed: its small solvers travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Labels, ridge penalties, least aligned rows for a fit.
 HYBRID = "Hybrid Meta (Regressor)"
 HYBRID_CLF = "Hybrid Meta (Classifier)"
 ALPHAS = (0.1, 1.0, 10.0)

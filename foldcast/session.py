@@ -29,7 +29,7 @@ def build_session(app: str = "foldcast", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where that is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where that is unset, a temporary one, and only on a single machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         current = tempfile.mkdtemp(prefix="foldcast-")
         spark.sparkContext.setCheckpointDir(current)
     return current

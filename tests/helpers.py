@@ -4,23 +4,20 @@ import numpy as np
 import pandas as pd
 
 
-def bars(n=200, seed=42, symbol="X", start="2023-01-02", macro=False, shift=150.0):
-    """A seeded random walk on business days."""
+def bars(n=200, seed=42, symbol="X", start="2023-01-02", macro=False, level=80.0):
+    """A trend with a slow wave and noise on business days; each day opens where the one before closed."""
     rng = np.random.default_rng(seed)
-    close = rng.normal(0, 1, n).cumsum() + shift
-    out = pd.DataFrame({
-        "symbol": symbol,
-        "date": pd.bdate_range(start, periods=n).date,
-        "open": close + 0.5 * rng.normal(0, 1, n),
-        "high": close + np.abs(rng.normal(0, 1, n)),
-        "low": close - np.abs(rng.normal(0, 1, n)),
-        "close": close,
-        "volume": rng.integers(500_000, 2_000_000, n).astype(float),
-    })
+    day = np.arange(n)
+    close = level * np.exp(0.0012 * day + 0.04 * np.sin(day / 17) + rng.normal(0, 0.006, n))
+    opened = np.append(level, close)[:n]
+    out = pd.DataFrame({"symbol": symbol, "date": pd.bdate_range(start, periods=n).date, "open": opened, "close": close})
+    out["high"] = np.maximum(opened, close) * (1 + rng.exponential(0.004, n))
+    out["low"] = np.minimum(opened, close) * (1 - rng.exponential(0.004, n))
+    out["volume"] = 100 + 10 * np.floor(rng.gamma(4, 2500, n))
     if macro:
-        out["SP500"] = rng.normal(0, 5, n).cumsum() + 4000
-        out["VIX"] = np.abs(rng.normal(20, 3, n))
-        out["TNX_Yield"] = rng.normal(4, 0.1, n)
+        out["SP500"] = 2500 + 8 * day + rng.normal(0, 20, n)
+        out["VIX"] = 14 + 6 * np.abs(np.sin(day / 11)) + rng.exponential(2, n)
+        out["TNX_Yield"] = 2 + 0.5 * np.cos(day / 40)
     return out
 
 

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -18,7 +20,7 @@ FOLDS = FoldSpec(150, 40, 40)
 
 @pytest.fixture(scope="module")
 def feats(spark):
-    d = pd.concat([bars(330, 42, "X", macro=True), bars(330, 9, "Y", macro=True, shift=3000.0)])
+    d = pd.concat([bars(330, 42, "X", macro=True), bars(330, 9, "Y", macro=True, level=3000.0)])
     return drop_warmup(engineer_features(spark.createDataFrame(d), SMALL), SMALL).checkpoint()
 
 
@@ -293,7 +295,7 @@ def test_business_days(spark):
 
 def test_step_features_equal_engineered_features(spark):
     """A bar appended by the forecast has the features the full history would give it."""
-    d = pd.concat([bars(330, 42, "X", macro=True), bars(330, 9, "Y", macro=True, shift=3000.0)])
+    d = pd.concat([bars(330, 42, "X", macro=True), bars(330, 9, "Y", macro=True, level=3000.0)])
     full = drop_warmup(engineer_features(spark.createDataFrame(d), SMALL), SMALL)
     names = L.feature_columns(full.columns, close_first=True)
     state = FC.forecast_state(full, names, 10)
@@ -324,6 +326,22 @@ def test_forecast(feats, runs, name):
     assert all((got[got.symbol == s].date > d).all() for s, d in last)
 
 
+@pytest.mark.parametrize("name", ["tree", "huber"])
+def test_forecast_of_short_and_unseen_symbols(feats, runs, name):
+    """With as many rows as a step needs the forecast is that of the long series; with fewer, or unseen, the last close stays."""
+    x, stats = feats.where("symbol = 'X'"), runs[name].last_stats.where("symbol = 'X'")
+    for symbol, rows in (("W", 60), ("Z", 20), ("V", 60)):
+        tail = x.where(F.col("rn") >= F.col("n") - rows).withColumns({"symbol": F.lit(symbol), "rn": F.col("rn") - F.col("n") + rows, "n": F.lit(rows)})
+        feats = feats.unionByName(tail)
+    known = stats.unionByName(stats.withColumn("symbol", F.lit("W"))).unionByName(stats.withColumn("symbol", F.lit("Z")))
+    got = collect(FC.forecast_recursive(feats, replace(runs[name], last_stats=known), 3), "symbol", "step")
+    path = {s: list(g.y_pred) for s, g in got.groupby("symbol")}
+    last = x.orderBy(F.desc("rn")).first().close
+    assert set(path) == {"V", "W", "X", "Y", "Z"} and list(got.step) == [0, 1, 2] * 5
+    np.testing.assert_allclose(path["W"], path["X"], rtol=1e-9)
+    assert path["Z"] == path["V"] == [last] * 3 and path["X"] != path["Z"] and len(set(path["Y"])) == 1
+
+
 def test_importance_tuning_and_early_stop(feats, runs):
     imp = collect(L.feature_importance(runs["tree"]))
     assert len(imp) == 33 and abs(imp.importance.sum() - 1) < 1e-6
