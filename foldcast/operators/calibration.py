@@ -74,7 +74,7 @@ def interval_bounds(pred: Column) -> dict[str, Column]:
 def with_interval(preds: DataFrame, offsets: DataFrame, vix: DataFrame, pred: str = "y_pred") -> DataFrame:
     """Attach offsets (by symbol and, where both have it, model) and volatility; add ``lower`` and ``upper``."""
     on = [k for k in ("symbol", "model") if k in preds.columns and k in offsets.columns]
-    joined = attach(attach(preds, offsets, on), vix, ["symbol"])
+    joined = attach(preds, offsets.join(vix, "symbol"), on)
     return joined.withColumns(interval_bounds(F.col(pred))).drop("lower_offset", "upper_offset", "vix_current", "vix_mean")
 
 

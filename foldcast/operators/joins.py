@@ -28,17 +28,17 @@ def table_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(per_row.cast("long"))).first()[0] or 0
 
 
-def attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+def attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_BYTES, stored: bool = False) -> DataFrame:
     """Join a table of one row per series (or fold, or group) to the rows of those series, keeping the long side.
 
-    The small side is written once and measured. Up to ``limit`` bytes it is
+    The small side is written once (unless it is ``stored`` already) and measured. Up to ``limit`` bytes it is
     broadcast, so the long side is not shuffled. Beyond that the long side is
     salted and the small side copied to every salt, so a hot key spreads over
     many tasks. Both ways give the same rows.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins keep the long side alone")
-    small = materialise(small)
+    small = small if stored else materialise(small)
     if table_bytes(small) <= limit:
         return rows.join(F.broadcast(small), on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)))

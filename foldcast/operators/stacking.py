@@ -82,19 +82,19 @@ def ridge_grams(matrix: DataFrame, inputs: list[str], target: str = "y_true") ->
     Two aggregates because raw sums of squares lose digits at price level.
     """
     train = matrix.where(head_flag(0.8)).select("symbol", target, *inputs)
-    means = train.groupBy("symbol").agg(
+    means = materialise(train.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_train"), *[F.avg(c).alias(f"mean_{c}") for c in [*inputs, target]]
-    )
+    ))
     d = {c: F.col(c) - F.col(f"mean_{c}") for c in [*inputs, target]}
     pairs = [(a, b) for i, a in enumerate(inputs) for b in [*inputs[i:], target]]
-    grams = attach(train, means, ["symbol"]).groupBy("symbol").agg(*[F.sum(d[a] * d[b]).alias(f"g_{a}_{b}") for a, b in pairs])
+    grams = attach(train, means, ["symbol"], stored=True).groupBy("symbol").agg(*[F.sum(d[a] * d[b]).alias(f"g_{a}_{b}") for a, b in pairs])
     return means.join(grams, "symbol")
 
 
 def _solve(grams: DataFrame, inputs: list[str], target: str, alphas: tuple[float, ...]) -> DataFrame:
     """Coefficients and (X'X + aI)^-1 for every symbol and penalty; works on one small row per symbol."""
     k = len(inputs)
-    schema = "symbol string, alpha double, n_train long, intercept double, coef array<double>, inv array<double>"
+    schema = "symbol string, alpha double, n_train long, intercept double, coef array<double>, means array<double>, inv array<double>"
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -113,6 +113,7 @@ def _solve(grams: DataFrame, inputs: list[str], target: str, alphas: tuple[float
                     "n_train": pdf["n_train"],
                     "intercept": pdf[f"mean_{target}"] - (coef * x_mean).sum(axis=1),
                     "coef": list(coef),
+                    "means": list(x_mean),
                     "inv": list(inv.reshape(len(pdf), -1)),
                 })
 
@@ -130,18 +131,16 @@ def ridge_fit(matrix: DataFrame, inputs: list[str], target: str = "y_true", alph
     The leave-one-out residual of a row is e / (1 - h), a row expression, so
     all penalties of all symbols are judged in one aggregate.
     """
-    grams = materialise(ridge_grams(matrix, inputs, target))
-    fits = materialise(_solve(grams, inputs, target, alphas))
+    fits = materialise(_solve(ridge_grams(matrix, inputs, target), inputs, target, alphas))
     k = len(inputs)
     train = matrix.where(head_flag(0.8)).select("symbol", target, *inputs)
-    tried = grams.select("symbol", *[f"mean_{c}" for c in inputs]).join(fits, "symbol")
-    rows = attach(train, tried, ["symbol"])
-    d = [F.col(c) - F.col(f"mean_{c}") for c in inputs]
+    rows = attach(train, fits, ["symbol"], stored=True)
+    d = [F.col(c) - F.col("means")[i] for i, c in enumerate(inputs)]
     lever = sum((d[i] * d[j] * F.col("inv")[i * k + j] for i in range(k) for j in range(k)), 1.0 / F.col("n_train"))
     left_out = C.ratio(F.col(target) - linear(inputs), 1.0 - lever)
     errors = rows.groupBy("symbol", "alpha").agg(F.avg(left_out * left_out).alias("loo_mse"))
     best = errors.groupBy("symbol").agg(F.min_by("alpha", F.struct("loo_mse", "alpha")).alias("alpha"), F.min("loo_mse").alias("loo_mse"))
-    return fits.join(best, ["symbol", "alpha"]).drop("inv")
+    return fits.join(best, ["symbol", "alpha"]).drop("means", "inv")
 
 
 def ridge_predict(matrix: DataFrame, fit: DataFrame, inputs: list[str]) -> DataFrame:
