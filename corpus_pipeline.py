@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go; n_chars follows the text."""
-    cleaned = lines.drop_boilerplate(docs)
+    """Boilerplate lines of each source go, near copies counted as one page; n_chars follows the text."""
+    cleaned = lines.drop_boilerplate(docs, pages=setjoin.with_groups(docs.select("source", "text")))
     return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 

@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency: a line on a large share of a host's pages is boilerplate.
 
-A page is one text of a host, so mirrored copies of a page count once. Lines are compared without blanks around them; blank
-lines are kept and never counted.
+A page is one text of a host, so mirrored copies of a page count once; where rows carry a group (``page``), all texts of a group
+are one page of the host, so that a body shared by near copies alone is no boilerplate. Lines are compared without blanks around
+them; blank lines are kept and never counted.
 
 Defined results: NULL text stays NULL; a text of which every line goes becomes empty; NULL hosts form one host; hosts with few
 pages lose nothing (``min_pages``); repeated rows are cleaned alike.
@@ -27,12 +28,15 @@ def _host(host: str) -> Column:
     return F.coalesce(F.col(host).cast("string"), F.lit(""))
 
 
-def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, page: str | None = None) -> DataFrame:
     """(_host, _line): digests of lines on more than ``ratio`` of a host's pages, and on ``min_pages`` at least.
 
+    ``page`` names a column that is alike for the texts of one page; where it is NULL, the text is the page.
     Counts are combined in each task first, and pages holding one line are spread over tasks by the page.
     """
-    pages = docs.where(F.col(text).isNotNull()).select(_host(host).alias("_host"), _digest(F.col(text)).alias("_page"), F.col(text).alias("_text"))
+    digest = _digest(F.col(text))
+    of_page = F.coalesce(F.col(page).cast("string").cast("binary"), digest) if page else digest
+    pages = docs.where(F.col(text).isNotNull()).select(_host(host).alias("_host"), of_page.alias("_page"), F.col(text).alias("_text"))
     totals = pages.select("_host", "_page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     lines = F.array_distinct(F.transform(F.split("_text", "\n"), lambda x: F.btrim(x)))
     seen = pages.select("_host", "_page", F.explode(F.filter(lines, lambda x: x != "")).alias("_line")).select("_host", "_page", _digest(F.col("_line")).alias("_line"))
@@ -41,16 +45,16 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text",
     return often.where(F.col("_on") > ratio * F.col("_pages")).select("_host", "_line")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counted: str | None = None) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counted: str | None = None, pages: DataFrame | None = None) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text``; other columns and the order of lines stay.
 
-    ``counted`` names a column for the number of lines cut.
+    ``counted`` names a column for the number of lines cut. ``pages`` holds the rows of ``docs`` with their page in ``_group``.
 
     A host's boilerplate has fewer lines than its mean page divided by ``ratio``, so it fits in one row of the host. These rows
     are broadcast when their counted lines are within BROADCAST_LINES; else documents and lists meet by host and salt.
     """
     need_columns(docs, host, text)
-    frequent = stored(boilerplate_lines(docs, host, text, ratio, min_pages), "boilerplate")
+    frequent = stored(boilerplate_lines(docs if pages is None else pages, host, text, ratio, min_pages, None if pages is None else "_group"), "boilerplate")
     lists = frequent.groupBy("_host").agg(F.collect_set("_line").alias("_drop"))
     rows, on = docs.withColumn("_host", _host(host)), ["_host"]
     if frequent.count() <= BROADCAST_LINES:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldcast.llm.components import components
-from foldcast.llm.shared import BROADCAST_KEYS, need_columns, stored
+from foldcast.llm.shared import BROADCAST_KEYS, keyed, need_columns, stored
 from foldcast.llm.words import as_long, batch_words, mix
 
 SHINGLE = 5
@@ -357,6 +357,19 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.drop("bands").join(of_class, ["n", "f1", "f2"], "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` stored with a number of each row in ``_rid``."""
+    return stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "join-rows")
+
+
+def with_groups(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the component of each row in ``_group``; NULL for rows without words."""
+    need_columns(docs, text)
+    rows = numbered(docs)
+    label = F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group")
+    return keyed(rows, stored(link_components(rows, "_rid", text).select("_rid", label), "join-groups-of-rows"), "_rid", "left").drop("_rid")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the least key; rows without words stay."""
     joined = link_components(docs, key, text)

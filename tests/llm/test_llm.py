@@ -301,3 +301,28 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     label, _ = brute_components([*texts, texts[0], None])
     assert {r.doc_id for r in got.collect()} == {i for i in range(32) if label[i] == i} - {4}
+
+
+def test_near_copies_are_one_page(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+
+    def line():
+        return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(12))
+
+    body = [line() for _ in range(12)]
+    copies = ["\n".join(["footer of the host", f"copy {i}", *body]) for i in range(12)]
+    texts = [*copies, *("\n".join(["footer of the host", line(), line(), line()]) for _ in range(100))]
+    docs = frame(spark, texts, ["h"] * len(texts)).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, line())], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    part = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        part = stage(spark, part, str(tmp_path))
+    got = {r.doc_id: r.text for r in part.collect()}
+    assert sorted(got) == [0, *range(12, 112)]
+    assert all(got[i] == texts[i].split("\n", 1)[1] for i in got)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == sorted(got)
