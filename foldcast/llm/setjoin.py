@@ -371,8 +371,10 @@ def with_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the least key; rows without words stay."""
-    joined = link_components(docs, key, text)
-    kept = stored(joined.where(F.col(key).isNull() | F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct(), "join-kept")
-    one = docs.join(F.broadcast(kept) if kept.count() <= BROADCAST_KEYS else kept.hint("merge"), F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
-    return one
+    """``docs`` with one row of each component: the first of those with the least key, NULL last; rows without words stay."""
+    need_columns(docs, key, text)
+    rows = numbered(docs)
+    joined = stored(link_components(rows, "_rid", text), "join-rows-of")
+    least = F.min(F.struct(F.col(key).isNull(), F.col(key).alias("_key"), F.col("_rid")))
+    kept = rows.select("_rid", key).join(joined, "_rid").groupBy("component_id").agg(least.alias("_first")).select("_first._rid")
+    return keyed(rows, stored(kept, "join-kept"), "_rid").select(*docs.columns)

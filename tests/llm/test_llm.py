@@ -326,3 +326,11 @@ def test_near_copies_are_one_page(spark, tmp_path):
     assert all(got[i] == texts[i].split("\n", 1)[1] for i in got)
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in out.collect()) == sorted(got)
+
+
+def test_keep_one_row_of_repeated_and_null_keys(spark):
+    a, b = "a b c d e f", "u v w x y z"
+    rows = [(0, a), (0, a), (1, a), (1, b), (None, a), (None, b), (None, "k l m n o p"), (None, "k l m n o p"), (None, None), (None, "")]
+    kept = setjoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(0, a), (1, b), (None, "k l m n o p"), (None, None), (None, "")], key=str)
