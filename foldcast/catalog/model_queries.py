@@ -309,42 +309,37 @@ def seq_fold_split(spark, sf):
     return sequences.sequence_counts(feats, FO.fold_split(FO.series_lengths(feats), FoldSpec()), 90)
 
 
-# ---- learners: small models, whole tables
-
-FEW_FOLDS = FoldSpec(1000, 700, 700)
-ONE_FOLD = FoldSpec(1000, 1400, 1400)
-SMALL_TREE = L.TreeConfig(boost_rounds=5, boost_depth=4, forest_trees=8, forest_depth=5)
-SMALL_SEQUENCE = L.SequenceConfig(time_step=10, max_iter=20)
+# ---- learners: default folds and sizes
 
 
 @query("learn_tree_ensemble")
 def learn_tree_ensemble(spark, sf):
-    return L.learn_tree(T.features(spark, sf), FEW_FOLDS, SMALL_TREE).predictions
+    return L.learn_tree(T.features(spark, sf), FoldSpec()).predictions
 
 
 @query("learn_tree_walkforward")
 def learn_tree_walkforward(spark, sf):
-    return M.fold_and_pooled_metrics(L.learn_tree(T.features(spark, sf), FoldSpec(800, 400, 400), SMALL_TREE).predictions)
+    return M.fold_and_pooled_metrics(L.learn_tree(T.features(spark, sf), FoldSpec()).predictions)
 
 
 @query("feat_importance")
 def feat_importance(spark, sf):
-    return L.feature_importance(L.learn_tree(T.features(spark, sf), ONE_FOLD, SMALL_TREE))
+    return L.feature_importance(L.learn_tree(T.features(spark, sf), FoldSpec()))
 
 
 @query("learn_sequence_huber")
 def learn_sequence_huber(spark, sf):
-    return L.learn_sequence(T.features(spark, sf), FEW_FOLDS, L.HUBER, SMALL_SEQUENCE).predictions
+    return L.learn_sequence(T.features(spark, sf), FoldSpec(), L.HUBER).predictions
 
 
 @query("learn_sequence_fm")
 def learn_sequence_fm(spark, sf):
-    return L.learn_sequence(T.features(spark, sf), FEW_FOLDS, L.FM, SMALL_SEQUENCE).predictions
+    return L.learn_sequence(T.features(spark, sf), FoldSpec(), L.FM).predictions
 
 
 @query("train_base_models")
 def train_base_models(spark, sf):
-    runs = L.train_base_models(T.features(spark, sf), ONE_FOLD, SMALL_TREE, SMALL_SEQUENCE)
+    runs = L.train_base_models(T.features(spark, sf), FoldSpec())
     preds = None
     for r in runs.values():
         preds = r.predictions if preds is None else preds.unionByName(r.predictions)
@@ -353,18 +348,18 @@ def train_base_models(spark, sf):
 
 @query("tune_params")
 def tune_params(spark, sf):
-    return L.tune_sequence(T.features(spark, sf), ONE_FOLD, L.FM, SMALL_SEQUENCE, trials=4)[1]
+    return L.tune_sequence(T.features(spark, sf), FoldSpec(), L.FM)[1]
 
 
 @query("early_stop")
 def early_stop(spark, sf):
-    return L.early_stop_rounds(T.features(spark, sf), ONE_FOLD, SMALL_TREE)
+    return L.early_stop_rounds(T.features(spark, sf), FoldSpec(), L.TreeConfig())
 
 
 @query("sink_model")
 def sink_model(spark, sf):
     feats = T.features(spark, sf)
-    run = L.learn_tree(feats, ONE_FOLD, SMALL_TREE)
+    run = L.learn_tree(feats, FoldSpec())
     model, scaler, names = L.load_run(spark, L.save_run(run, scratch_path(spark, "tree_model")))
     order = [r.feature for r in names.orderBy("position").collect()]
     rows = attach(feats, scaler.drop("fold_id"), ["symbol"])
@@ -567,15 +562,14 @@ def cal_business_days(spark, sf):
 @query("forecast_recursive")
 def forecast_recursive(spark, sf):
     feats = materialise(T.features(spark, sf))
-    tree = L.learn_tree(feats, ONE_FOLD, SMALL_TREE)
-    linear = L.learn_sequence(feats, ONE_FOLD, L.HUBER, SMALL_SEQUENCE)
-    return forecast.forecast_recursive(feats, tree, 5).unionByName(forecast.forecast_recursive(feats, linear, 5))
+    tree = L.learn_tree(feats, FoldSpec())
+    linear = L.learn_sequence(feats, FoldSpec(), L.HUBER)
+    return forecast.forecast_recursive(feats, tree, 30).unionByName(forecast.forecast_recursive(feats, linear, 30))
 
 
 @query("pipeline_run")
 def pipeline_run(spark, sf):
-    config = RunConfig(future_days=3, folds=ONE_FOLD, tree=SMALL_TREE, sequence=SMALL_SEQUENCE, clf_rounds=8)
-    return run_all(T.daily_bars(spark, sf), T.macro(spark, sf), config).comparison
+    return run_all(T.daily_bars(spark, sf), T.macro(spark, sf), RunConfig()).comparison
 
 
 # ---- reports
@@ -621,7 +615,7 @@ def rep_metric_bars(spark, sf):
 
 @query("rep_top_importance")
 def rep_top_importance(spark, sf):
-    return R.top_importance(L.feature_importance(L.learn_tree(T.features(spark, sf), ONE_FOLD, SMALL_TREE)))
+    return R.top_importance(L.feature_importance(L.learn_tree(T.features(spark, sf), FoldSpec())))
 
 
 @query(

@@ -28,8 +28,8 @@ from foldcast.operators.windows import shift
 from foldcast.schema import PREDICTION_COLUMNS, feature_columns
 from foldcast.session import materialise
 
-# Training data per partition below which partitions are merged.
-TRAIN_PARTITION_BYTES = 64 * 1024 * 1024
+# Partitions of a sequence fit's training rows, at every size.
+TRAIN_PARTITIONS = 64
 
 TREE, HUBER, FM = "Tree Ensemble", "Sequence Huber", "Sequence FM"
 
@@ -162,11 +162,9 @@ def _sequence_estimator(kind: str, cfg: SequenceConfig):
     return FMRegressor(factorSize=cfg.factor_size, stepSize=cfg.step, regParam=cfg.fm_reg, maxIter=cfg.max_iter, seed=cfg.seed, **common)
 
 
-def right_sized(train: DataFrame, rows: int, width: int) -> DataFrame:
-    """Fewer partitions for a small training set: an iterative fit runs one job per step over all of them."""
-    wanted = max(1, rows * width * 8 // TRAIN_PARTITION_BYTES)
-    shuffles = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return train.coalesce(wanted) if wanted < shuffles else train
+def spread(windows: DataFrame) -> DataFrame:
+    """Training rows dealt out by symbol and position, whatever their number and the session's shuffle settings."""
+    return windows.repartition(TRAIN_PARTITIONS, "symbol", "cal")
 
 
 def _fold_sequences(rows: DataFrame, stats: DataFrame, names: list[str], time_step: int, test_end: int, spec: SeriesSpec) -> DataFrame:
@@ -197,8 +195,7 @@ def learn_sequence(
             continue
         fold_stats = stats.where(F.col("fold_id") == k)
         seqs = _fold_sequences(rows, fold_stats, names, cfg.time_step, test_end, spec)
-        size = rows.where(F.col("cal") < train_end).count()
-        train = right_sized(seqs.where(F.col("cal") < train_end).select("x", "target"), size, len(names) * cfg.time_step).persist()
+        train = spread(seqs.where(F.col("cal") < train_end).select("symbol", "cal", "x", "target")).persist()
         try:
             model = Pipeline(stages=[_sequence_estimator(kind, cfg)]).fit(train)
         finally:
@@ -238,7 +235,7 @@ def tune_sequence(
     stats = minmax_stats(on_calendar, folds, names).where("fold_id = 0")
     seqs = _fold_sequences(rows, stats, names, cfg.time_step, train_end, spec)
     inner_end = cfg.time_step + int((train_end - cfg.time_step) * 0.8)
-    seqs = right_sized(seqs.select("cal", "x", "target"), rows.where(F.col("cal") < train_end).count(), len(names) * cfg.time_step).persist()
+    seqs = spread(seqs.select("symbol", "cal", "x", "target")).persist()
     results = []
     try:
         inner, later = seqs.where(F.col("cal") < inner_end), seqs.where(F.col("cal") >= inner_end)

@@ -369,3 +369,46 @@ def test_classifier_and_fallback(spark, feats):
     assert avg.first().hybrid == 3.0
     few = spark.createDataFrame([("X",)] * 10 + [("Y",)] * 11, "symbol string")
     assert [r.symbol for r in S.enough_aligned(few).collect()] == ["Y"]
+
+
+def test_learner_queries_run_default_sizes(monkeypatch):
+    import inspect
+    from unittest.mock import MagicMock
+
+    from foldcast.catalog import model_queries as Q
+    from foldcast.plans.run import RunConfig
+
+    calls = []
+
+    def record(owner, name):
+        signature = inspect.signature(getattr(owner, name))
+
+        def stub(*args, **named):
+            bound = signature.bind(*args, **named)
+            bound.apply_defaults()
+            calls.append(bound.arguments)
+            return MagicMock()
+
+        monkeypatch.setattr(owner, name, stub)
+
+    for name in ("learn_tree", "learn_sequence", "train_base_models", "tune_sequence", "early_stop_rounds"):
+        record(L, name)
+    record(Q.forecast, "forecast_recursive")
+    record(Q, "run_all")
+    for owner, name in ((Q, "T"), (Q, "M"), (Q, "R"), (Q, "F"), (Q, "scaling"), (Q, "attach"), (Q, "materialise"), (Q, "scratch_path"), (L, "feature_importance"), (L, "save_run"), (L, "tree_output")):
+        monkeypatch.setattr(owner, name, MagicMock())
+    monkeypatch.setattr(L, "load_run", lambda *_: (MagicMock(), MagicMock(), MagicMock()))
+    names = "learn_tree_ensemble learn_tree_walkforward feat_importance learn_sequence_huber learn_sequence_fm train_base_models tune_params early_stop sink_model forecast_recursive pipeline_run rep_top_importance"
+    sizes = {"folds": FoldSpec(), "tree": L.TreeConfig(), "sequence": L.SequenceConfig(), "trials": 10, "count": 30, "config": RunConfig()}
+    for name in names.split():
+        calls.clear()
+        getattr(Q, name)(None, "")
+        assert calls, name
+        for call in calls:
+            assert {k: call[k] for k in sizes if k in call} == {k: sizes[k] for k in sizes if k in call}, name
+            assert call.get("cfg", L.TreeConfig()) in (L.TreeConfig(), L.SequenceConfig()), name
+
+
+def test_training_partitions_do_not_follow_the_session(spark):
+    rows = spark.range(200).selectExpr("'s' AS symbol", "id AS cal", "id AS x", "id AS target")
+    assert L.spread(rows).rdd.getNumPartitions() == L.spread(rows.limit(3)).rdd.getNumPartitions() == L.TRAIN_PARTITIONS
