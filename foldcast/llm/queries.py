@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldcast.llm import bpe, classlm, decontam, lines, pii, quality, rules, secrets, setjoin, shards
+from foldcast.llm import bpe, classlm, decontam, lines, pii, quality, resample, rules, runs, secrets, setjoin, shards, simhash
 from foldcast.llm.registry import documents, labels, query
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -89,3 +89,31 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_benchmark_leaks")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op11_importance_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = resample.weigh(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return resample.draw(weighed).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(runs.repeat_tails(documents(spark, sf_dir)))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = F.col("best")
+    return found.withColumn("best", runs.strongest(F.col("runs"))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_simhash_copies")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(documents(spark, sf_dir))

@@ -32,3 +32,11 @@ def need_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns missing: {missing}")
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """``wanted``, lengthened until no column (in any case) has that name."""
+    used = {c.lower() for c in taken}
+    while wanted.lower() in used:
+        wanted += "_"
+    return wanted
