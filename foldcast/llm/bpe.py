@@ -14,6 +14,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -169,12 +170,18 @@ class TokenAutomaton:
 
     def _plain(self, text: str, out: array) -> None:
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        encode_word = self.encode_word
-        for w in WHITE.split(text) if odd else text.split():
-            out.extend(self.words.get(w) or encode_word(w))
+        words = WHITE.split(text) if odd else text.split()
+        # Words met before are looked up all at once; only the others are encoded one by one.
+        found = list(map(self.words.get, words))
+        if None in found:
+            known, encode_word = self.words, self.encode_word
+            for i in [i for i, ids in enumerate(found) if ids is None]:
+                found[i] = known.get(words[i]) or encode_word(words[i])
+                known = self.words
+        out.extend(chain.from_iterable(found))
 
     def decode(self, ids) -> str:
-        return " ".join([self.labels[i] for i in ids])
+        return " ".join(map(self.labels.__getitem__, ids))
 
 
 @lru_cache(maxsize=4)

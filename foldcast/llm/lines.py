@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foldcast.llm.shared import need_columns, stored
+from foldcast.llm.shared import free_name, need_columns, stored
 
 RATIO = 0.02
 MIN_PAGES = 5
@@ -55,16 +55,17 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """
     need_columns(docs, host, text)
     frequent = stored(boilerplate_lines(docs if pages is None else pages, host, text, ratio, min_pages, None if pages is None else "_group"), "boilerplate")
-    lists = frequent.groupBy("_host").agg(F.collect_set("_line").alias("_drop"))
-    rows, on = docs.withColumn("_host", _host(host)), ["_host"]
+    of_host, drop, salt = (free_name(c, docs.columns) for c in ("_host", "_drop", "_salt"))
+    lists = frequent.groupBy(F.col("_host").alias(of_host)).agg(F.collect_set("_line").alias(drop))
+    rows, on = docs.withColumn(of_host, _host(host)), [of_host]
     if frequent.count() <= BROADCAST_LINES:
         lists = F.broadcast(lists)
     else:
-        on = ["_host", "_salt"]
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)))
-        lists = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    kept = F.filter(F.split(text, "\n"), lambda x: (F.btrim(x) == "") | ~F.array_contains("_drop", _digest(F.btrim(x))))
-    cleaned = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    cut = F.when(F.col("_drop").isNull() | F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n")) - F.size(kept))
+        on = [of_host, salt]
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(text), F.lit(SALTS)))
+        lists = lists.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    kept = F.filter(F.split(text, "\n"), lambda x: (F.btrim(x) == "") | ~F.array_contains(F.col(drop), _digest(F.btrim(x))))
+    cleaned = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    cut = F.when(F.col(drop).isNull() | F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n")) - F.size(kept))
     more = [cut.cast("long").alias(counted)] if counted else []
     return rows.join(lists, on, "left").select(*(cleaned.alias(c) if c == text else F.col(c) for c in docs.columns if c != counted), *more)

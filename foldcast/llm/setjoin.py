@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldcast.llm.components import components
-from foldcast.llm.shared import BROADCAST_KEYS, keyed, need_columns, stored
+from foldcast.llm.shared import BROADCAST_KEYS, free_name, keyed, need_columns, stored
 from foldcast.llm.words import as_long, batch_words, mix
 
 SHINGLE = 5
 CELL_BITS, CELL_BLOCK = 22, 1 << 18  # the count sketch: 4 M cells in 16 blocks, whatever the corpus
-BANDS, BLOCK, PREFIX_ROWS, REPRESENTATIVES = 6, 1024, 2_000_000, 8
+BANDS, BLOCK, PREFIX_ROWS, REPRESENTATIVES = 6, 1024, 500_000, 8
+BLOCK_TOKENS = 400_000  # shingles of all classes of a block together, so that a block of long texts is no larger than one of short ones
 _SALT = mix(np.arange(1, 2 * BANDS + 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -269,6 +270,11 @@ def _need(n: str, low: str, high: str) -> Column:
     return F.when(low > high, F.lit(2**31)).otherwise(F.greatest(F.lit(1), F.least(_least_common(n, low), _least_common(n, high))))
 
 
+def _parts(n: str) -> Column:
+    """Into how many parts the classes of a group go, by their number and by all their shingles."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)), F.ceil(F.sum(n) / (2 * BLOCK_TOKENS)))
+
+
 def _narrow_join(df: DataFrame, narrow: DataFrame, how: str = "inner") -> DataFrame:
     """Join by cid with a stored table of narrow rows: broadcast when its counted rows are few enough, else shuffled."""
     return df.join(F.broadcast(narrow) if narrow.count() <= BROADCAST_KEYS else narrow.hint("merge"), "cid", how)
@@ -282,9 +288,11 @@ def _grouped(classes: DataFrame) -> DataFrame:
         low = bands.join(labels, "cid").groupBy("band").agg(F.min("label").alias("label"))
         labels = bands.join(low, "band").groupBy("cid").agg(F.min("label").alias("label"))
     labels = stored(labels, "join-groups")
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / BLOCK))
-    return classes.select("cid", "n").join(labels, "cid").join(sizes, "label").select("cid", "n", F.col("label").alias("grp"), "m", F.xxhash64("label", part).alias("block"))
+    sized = classes.select("cid", "n").join(labels, "cid")
+    sizes = sized.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"))
+    parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS))
+    part = F.pmod(F.xxhash64("cid"), parts)
+    return sized.join(sizes, "label").select("cid", "n", F.col("label").alias("grp"), parts.alias("parts"), F.xxhash64("label", part).alias("block"))
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -304,6 +312,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     total = classes.agg(F.sum(F.col("n") - F.ceil(0.75 * F.col("n")) + 1)).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PREFIX_ROWS))
     shared = stored(_shared_tokens(_prefixes(_texts_of(docs, wanted, key, text), weights), partitions), "join-shared")
+    weights.destroy()
 
     # Classes that share enough prefix tokens with others of a size that may link; the rest have no link.
     reach = shared.groupBy("cid").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
@@ -319,9 +328,9 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     local = stored(sets.where("NOT alone").groupBy("block").applyInArrow(lambda t: _join_block(t), schema).distinct(), "join-local")
     # A few of each local component of groups with several blocks meet once more, so that a large group of copies is one.
     info = placed.join(local, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    some = F.slice(F.array_sort(F.collect_set("cid")), 1, REPRESENTATIVES)
-    few = info.where(F.col("m") > BLOCK).groupBy("grp", "block", "label").agg(some.alias("some")).select("grp", "label", F.explode("some").alias("cid"))
-    fit = few.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).alias("parts"))
+    some = F.slice(F.array_sort(F.collect_set(F.struct("cid", "n"))), 1, REPRESENTATIVES)
+    few = info.where(F.col("parts") > 1).groupBy("grp", "block", "label").agg(some.alias("some")).select("grp", "label", F.inline("some"))
+    fit = few.groupBy("grp").agg(_parts("n").alias("parts"))
     few = stored(few.join(fit, "grp").select("cid", "label", F.xxhash64("grp", F.pmod(F.xxhash64("label"), F.col("parts"))).alias("block")), "join-few")
     met = stored(_narrow_join(sets.select("cid", "tokens"), few.select("cid", "block")).groupBy("block").applyInArrow(lambda t: _join_block(t), schema).distinct(), "join-met")
     merged = few.join(met.withColumnRenamed("label", "met"), "cid").groupBy("label").agg(F.min("met").alias("met"))
@@ -342,8 +351,8 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     bound = q.join(g, (F.col("q.token") == F.col("g.token")) & asking & sized).groupBy(F.col("q.cid").alias("cid"), F.col("g.block").alias("block")).agg(
         F.count(F.lit(1)).alias("c"), F.first("q.n").alias("n"), F.min("g.n_low").alias("low"), F.max("g.n_high").alias("high")
     )
-    opened = stored(bound.where(F.col("c") >= _need("n", "low", "high")).select("cid", "block"), "join-opened")
-    load = opened.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).alias("parts"))
+    opened = stored(bound.where(F.col("c") >= _need("n", "low", "high")).select("cid", "block", "n"), "join-opened")
+    load = opened.groupBy("block").agg(_parts("n").alias("parts"))
     asks = opened.join(load, "block").select("cid", "block", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"), F.lit(True).alias("asks"))
     members = known.join(load, "block").select("cid", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
     meet = _narrow_join(sets.select("cid", "tokens"), stored(asks.unionByName(members), "join-meet"))
@@ -357,24 +366,25 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.drop("bands").join(of_class, ["n", "f1", "f2"], "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` stored with a number of each row in ``_rid``."""
-    return stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "join-rows")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` stored with a number of each row, and the name of that column, which is none of theirs."""
+    rid = free_name("_rid", docs.columns)
+    return stored(docs.withColumn(rid, F.monotonically_increasing_id()), "join-rows"), rid
 
 
-def with_groups(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the component of each row in ``_group``; NULL for rows without words."""
+def with_groups(docs: DataFrame, text: str = "text", group: str = "_group") -> DataFrame:
+    """``docs`` with the component of each row in ``group``, which replaces a column of that name; NULL for rows without words."""
     need_columns(docs, text)
-    rows = numbered(docs)
-    label = F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group")
-    return keyed(rows, stored(link_components(rows, "_rid", text).select("_rid", label), "join-groups-of-rows"), "_rid", "left").drop("_rid")
+    rows, rid = numbered(docs.drop(group))
+    label = F.when(F.col("n_shingles") > 0, F.col("component_id")).alias(group)
+    return keyed(rows, stored(link_components(rows, rid, text).select(rid, label), "join-groups-of-rows"), rid, "left").drop(rid)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the first of those with the least key, NULL last; rows without words stay."""
     need_columns(docs, key, text)
-    rows = numbered(docs)
-    joined = stored(link_components(rows, "_rid", text), "join-rows-of")
-    least = F.min(F.struct(F.col(key).isNull(), F.col(key).alias("_key"), F.col("_rid")))
-    kept = rows.select("_rid", key).join(joined, "_rid").groupBy("component_id").agg(least.alias("_first")).select("_first._rid")
-    return keyed(rows, stored(kept, "join-kept"), "_rid").select(*docs.columns)
+    rows, rid = numbered(docs)
+    joined = stored(link_components(rows, rid, text).select(rid, "component_id"), "join-rows-of")
+    least = F.min(F.struct(F.col("k").isNull(), F.col("k").alias("_key"), F.col("r"))).alias("_first")
+    kept = rows.select(F.col(rid).alias("r"), F.col(key).alias("k")).join(joined.select(F.col(rid).alias("r"), F.col("component_id").alias("c")), "r").groupBy("c").agg(least).select(F.col("_first.r").alias(rid))
+    return keyed(rows, stored(kept, "join-kept"), rid).select(*docs.columns)

@@ -334,3 +334,38 @@ def test_keep_one_row_of_repeated_and_null_keys(spark):
     kept = setjoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert got == sorted([(0, a), (1, b), (None, "k l m n o p"), (None, None), (None, "")], key=str)
+
+
+def test_clashing_columns_come_back_as_they_were(spark):
+    body = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(40)]
+    texts = [*(f"foot line\n{b}" for b in body), "foot line\n" + body[0], None, ""]
+    names = ("_rid", "_host", "_drop", "_salt", "_group", "_key", "_first", "cid")
+    docs = frame(spark, texts).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    for out in (lines.drop_boilerplate(docs, ratio=0.5), setjoin.keep_one(docs)):
+        rows = out.collect()
+        assert out.columns == docs.columns and len(rows) in (42, 43)
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+    grouped = setjoin.with_groups(docs)
+    assert grouped.columns.count("_group") == 1 and grouped.where("doc_id = 40").first()["_group"] == grouped.where("doc_id = 0").first()["_group"]
+
+
+@pytest.mark.parametrize("tokens", [400_000, 150])
+def test_blocks_are_cut_by_shingles(spark, texts, monkeypatch, tokens):
+    monkeypatch.setattr(setjoin, "BLOCK_TOKENS", tokens)
+    long = " ".join(f"v{i}" for i in range(3000))
+    whole = [*texts, long, long + " tail", " ".join(f"v{i}" for i in range(5, 3000))]
+    got = {r.doc_id: r.component_id for r in setjoin.link_components(frame(spark, whole)).collect()}
+    assert [got[i] for i in range(len(whole))] == brute_components(whole)[0]
+    assert setjoin.link_components(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_encoder_looks_up_repeated_words_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 3)
+    texts = ["alpha beta alpha gamma delta alpha beta", "", None, "alpha " * 50, "beta beta"] * 2
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    automaton = bpe.load_automaton(VOCABULARY)
+    automaton.forget()
+    for t in texts:
+        ids = own.encode(t or "", add_special_tokens=False).ids
+        assert list(automaton.encode(t or "")) == ids and automaton.decode(ids) == own.decode(ids, skip_special_tokens=False)
+    assert bpe.digests(frame(spark, texts).limit(0), VOCABULARY).count() == 0
