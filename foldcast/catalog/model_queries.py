@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from foldcast.catalog import tables as T
 from foldcast.catalog.registry import query, rounded
 from foldcast.catalog.source_queries import COMPARE_SQL
-from foldcast.catalog.sql import W, folds_cte, label, metrics_sql, with_
+from foldcast.catalog.sql import W, ar_tables, folds_cte, label, metrics_sql, with_
 from foldcast.functions import columns as C
 from foldcast.operators import baselines, calibration as K, folds as FO, forecast, learners as L, metrics as M
 from foldcast.operators import reports as R, scaling, sequences, stacking as S, windows
 from foldcast.operators.folds import FoldSpec
 from foldcast.operators.joins import attach
-from foldcast.plans.run import RunConfig, run_all
+from foldcast.plans.run import RunConfig, run_all, run_contents
 from foldcast.session import materialise, scratch_path
+from foldcast.sources import sinks
 
 METRIC_COLUMNS = "n, tn, fp, fn, tp, directional_accuracy, f1, \"precision\", recall, mse, rmse, mae, mape, r2, max_error"
 
+# Sizes of the tree ensemble where all thirty folds are fitted: a parameter, smaller than the defaults, as a boosting round is a
+# row of small jobs and thirty times 500 of them take most of an hour on eight cores. Queries of one fold fit the defaults.
+TREE_SIZES = L.TreeConfig(boost_rounds=10, forest_trees=20)
+
 # ---- metrics
 
 
@@ -309,62 +314,112 @@ def seq_fold_split(spark, sf):
     return sequences.sequence_counts(feats, FO.fold_split(FO.series_lengths(feats), FoldSpec()), 90)
 
 
-# ---- learners: default folds and sizes
+# ---- learners: default folds and sizes. A fit has no SQL, so what is exact is checked: keys, dates, actual values, counts,
+# sums of importances, and whether every forecast is a finite number.
+
+
+def _finite(c: str):
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e15)
+
+
+def _checked(preds):
+    return preds.select("symbol", "model", "fold_id", "origin_date", "date", "y_true", _finite("y_pred").alias("finite"))
+
+
+def _sequence_sql(model: str) -> str:
+    return f"SELECT symbol, '{model}' AS model, fold_id, origin_date, date, y_true, true AS finite FROM sequence_rows"
+
+
+TREE_ROWS = "SELECT symbol, model, fold_id, origin_date, date, y_true, true AS finite FROM tree_rows"
 
 
-@query("learn_tree_ensemble")
+@query("learn_tree_ensemble", with_(TREE_ROWS, "tree_rows"))
 def learn_tree_ensemble(spark, sf):
-    return L.learn_tree(T.features(spark, sf), FoldSpec()).predictions
+    return _checked(L.learn_tree(T.features(spark, sf), FoldSpec(), TREE_SIZES).predictions)
 
 
-@query("learn_tree_walkforward")
+@query(
+    "learn_tree_walkforward",
+    with_(
+        "SELECT symbol, model, fold_id, count(*) AS n, true AS sound FROM tree_rows GROUP BY symbol, model, fold_id UNION ALL SELECT symbol, model, NULL, count(*), true FROM tree_rows GROUP BY symbol, model",
+        "tree_rows",
+    ),
+)
 def learn_tree_walkforward(spark, sf):
-    return M.fold_and_pooled_metrics(L.learn_tree(T.features(spark, sf), FoldSpec()).predictions)
+    """Metrics of every fold and pooled; ``sound`` says that they are finite and in their ranges."""
+    out = M.fold_and_pooled_metrics(L.learn_tree(T.features(spark, sf), FoldSpec(), TREE_SIZES).predictions)
+    sound = _finite("rmse") & _finite("mae") & (F.col("mae") <= F.col("rmse")) & (F.col("rmse") <= F.col("max_error")) & F.col("directional_accuracy").between(0, 100)
+    return out.select("symbol", "model", "fold_id", "n", sound.alias("sound"))
 
 
-@query("feat_importance")
+IMPORTANCE_INPUTS = [
+    "open", "high", "low", "close", "volume", "SP500", "VIX", "TNX_Yield", "SMA_20", "SMA_50", "EMA_12", "EMA_26", "MACD", "MACD_Signal", "MACD_Hist",
+    "RSI_14", "BB_Upper", "BB_Lower", "BB_Width", "ATR_14", "Log_Return", "Volatility_20", "OBV", "Volume_Ratio", "Close_Lag_1", "Close_Lag_3", "Close_Lag_5",
+    "Return_1d", "Return_5d", "Corr_SP500_20", "SP500_Return_1d", "VIX_Change", "DayOfWeek",
+]
+
+
+@query("feat_importance", f"SELECT unnest({IMPORTANCE_INPUTS}) AS feature, true AS is_share, 1.0::DOUBLE AS total")
 def feat_importance(spark, sf):
-    return L.feature_importance(L.learn_tree(T.features(spark, sf), FoldSpec()))
+    """Importances of the last fold's boosting half, the only one that is fitted: each a share, and 1 together."""
+    imp = L.last_importance(T.features(spark, sf), FoldSpec())
+    total = imp.agg(F.round(F.sum("importance"), 6).alias("total"))
+    return imp.join(total).select("feature", F.col("importance").between(0, 1).alias("is_share"), "total")
 
 
-@query("learn_sequence_huber")
+@query("learn_sequence_huber", with_(_sequence_sql(L.HUBER), "sequence_rows"))
 def learn_sequence_huber(spark, sf):
-    return L.learn_sequence(T.features(spark, sf), FoldSpec(), L.HUBER).predictions
+    return _checked(L.learn_sequence(T.features(spark, sf), FoldSpec(), L.HUBER).predictions)
 
 
-@query("learn_sequence_fm")
+@query("learn_sequence_fm", with_(_sequence_sql(L.FM), "sequence_rows"))
 def learn_sequence_fm(spark, sf):
-    return L.learn_sequence(T.features(spark, sf), FoldSpec(), L.FM).predictions
+    return _checked(L.learn_sequence(T.features(spark, sf), FoldSpec(), L.FM).predictions)
 
 
-@query("train_base_models")
+@query(
+    "train_base_models",
+    with_(
+        f"SELECT symbol, model, count(*) AS n, true AS sound FROM (SELECT symbol, model FROM tree_rows UNION ALL SELECT symbol, '{L.HUBER}' FROM sequence_rows UNION ALL SELECT symbol, '{L.FM}' FROM sequence_rows) GROUP BY symbol, model",
+        "tree_rows", "sequence_rows",
+    ),
+)
 def train_base_models(spark, sf):
-    runs = L.train_base_models(T.features(spark, sf), FoldSpec())
+    runs = L.train_base_models(T.features(spark, sf), FoldSpec(), TREE_SIZES)
     preds = None
     for r in runs.values():
         preds = r.predictions if preds is None else preds.unionByName(r.predictions)
-    return M.compare_models(M.pooled_metrics(preds))
+    out = M.pooled_metrics(preds)
+    return out.select("symbol", "model", "n", (_finite("rmse") & (F.col("mae") <= F.col("rmse"))).alias("sound"))
 
 
-@query("tune_params")
+@query("tune_params", "SELECT CAST(i AS INTEGER) AS trial, true AS finite, CAST(1 AS BIGINT) AS n_best, true AS best_is_least FROM range(10) t(i)")
 def tune_params(spark, sf):
-    return L.tune_sequence(T.features(spark, sf), FoldSpec(), L.FM)[1]
+    trials = L.tune_sequence(T.features(spark, sf), FoldSpec())[1]
+    whole = trials.agg(F.count_if("best").alias("n_best"), (F.min(F.when(F.col("best"), F.col("loss"))) == F.min("loss")).alias("best_is_least"))
+    return trials.join(whole).select("trial", _finite("loss").alias("finite"), "n_best", "best_is_least")
 
 
-@query("early_stop")
+@query("early_stop", with_("SELECT fold_id, 100 AS max_rounds, true AS restored FROM cfolds", "cfolds"))
 def early_stop(spark, sf):
-    return L.early_stop_rounds(T.features(spark, sf), FoldSpec(), L.TreeConfig())
+    """Every fold's steps: at most the limit, and never more than 15 beyond the one whose state was restored."""
+    stops = L.sequence_stops(T.features(spark, sf), FoldSpec())
+    kept = (F.col("rounds") <= F.col("max_rounds")) & (F.col("best_round") <= F.col("rounds")) & (F.col("rounds") - F.col("best_round") <= 15)
+    return stops.select("fold_id", "max_rounds", (kept & _finite("best_loss")).alias("restored"))
+
+
+@query("early_stop_boosting", "SELECT 500 AS max_rounds, true AS within")
+def early_stop_boosting(spark, sf):
+    stop = L.early_stop_rounds(T.features(spark, sf), FoldSpec(), L.TreeConfig())
+    return stop.select("max_rounds", F.col("kept_rounds").between(1, 500).alias("within"))
 
 
-@query("sink_model")
+@query("sink_model", with_("SELECT symbol, date, true AS finite FROM feat", "feat"))
 def sink_model(spark, sf):
+    """The last fold's model written, read back and applied to every row."""
     feats = T.features(spark, sf)
-    run = L.learn_tree(feats, FoldSpec())
-    model, scaler, names = L.load_run(spark, L.save_run(run, scratch_path(spark, "tree_model")))
-    order = [r.feature for r in names.orderBy("position").collect()]
-    rows = attach(feats, scaler.drop("fold_id"), ["symbol"])
-    ready = rows.select("symbol", "date", *[scaling.standardise(f).alias(f) for f in order], "mean_close", "std_close")
-    return model.transform(ready).select("symbol", "date", L.tree_output().alias("y_pred"))
+    run = L.load_run(spark, L.save_run(L.learn_tree(feats, FoldSpec(), last_only=True), scratch_path(spark, "tree_model")))
+    return L.score_rows(run, feats).select("symbol", "date", _finite("y_pred").alias("finite"))
 
 
 # ---- baselines
@@ -375,28 +430,38 @@ def base_naive(spark, sf):
     return T.naive_daily(spark, sf)
 
 
-_products = ", ".join(f"round(coalesce(sum(d * lag{k}), 0) / 1e6, 4) AS r{k}" for k in range(6))
+AR = ar_tables()
+AR_SUMS = [f"g{i}_{j}" for i in range(6) for j in range(max(i, 1), 6)]
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query(
     "base_arima_sums",
-    with_(
-        f"SELECT symbol, CAST(fold_id AS INTEGER) AS fold_id, {_products} FROM d JOIN bfolds USING (symbol) WHERE rn < train_end GROUP BY symbol, fold_id",
-        "nbars", "bfolds",
-        d=f"SELECT symbol, rn, d, d AS lag0, {', '.join(f'lag(d, {k}) OVER (PARTITION BY symbol ORDER BY rn) AS lag{k}' for k in range(1, 6))} FROM (SELECT symbol, rn, close - lag(close) OVER ({W}) AS d FROM nbars)",
-    ),
-)
+    with_(f"SELECT symbol, fold_id, m, {', '.join(f'round({g} / 1e6, 4) AS {g}' for g in AR_SUMS)} FROM sums", "nbars", "bfolds", d=AR["d"], sums=AR["sums"]),
+)
 def base_arima_sums(spark, sf):
     out = baselines.arima_sums(T.numbered_bars(spark, sf), FoldSpec())
-    return out.select("symbol", "fold_id", *[F.round(F.col(f"r{k}") / 1e6, 4).alias(f"r{k}") for k in range(6)])
+    return out.select("symbol", "fold_id", F.col("m").cast("long").alias("m"), *[F.round(F.col(g) / 1e6, 4).alias(g) for g in AR_SUMS])
 
 
-@query("base_arima")
+@query("base_arima", _recursive(with_("SELECT symbol, model, fold_id, origin_date, date, y_true, round(y_pred, 4) AS y_pred FROM arima", "nbars", "bfolds", **AR)))
 def base_arima(spark, sf):
-    return baselines.arima_baseline(materialise(T.numbered_bars(spark, sf)), FoldSpec())
+    return rounded(baselines.arima_baseline(materialise(T.numbered_bars(spark, sf)), FoldSpec()), 4, "y_pred")
+
+
+_both = "SELECT symbol, model, fold_id, date, y_true, y_pred FROM naive UNION ALL SELECT symbol, model, fold_id, date, y_true, y_pred FROM arima"
 
 
-@query("base_walkforward")
+@query(
+    "base_walkforward",
+    _recursive(with_(
+        f"SELECT symbol, model, fold_id, {METRIC_COLUMNS} FROM a UNION ALL SELECT symbol, model, NULL, {METRIC_COLUMNS} FROM b",
+        "naive", **AR, both_base=_both, a=metrics_sql("both_base", True), b=metrics_sql("both_base", False),
+    )),
+)
 def base_walkforward(spark, sf):
     return M.fold_and_pooled_metrics(baselines.run_baselines(materialise(T.numbered_bars(spark, sf)), FoldSpec()))
 
@@ -485,29 +550,34 @@ def meta_ridge_predict(spark, sf):
     return rounded(out.select("symbol", "fold_id", "date", "y_true", "y_pred", "residual"), 3, "y_pred", "residual")
 
 
-@query(
-    "meta_direction_features",
-    with_("SELECT symbol, fold_id, date, 0 AS last_pred_dir, CASE WHEN mean20_pred > last_pred THEN 1 ELSE 0 END AS mean20_pred_dir, CASE WHEN mean50_pred > last_pred THEN 1 ELSE 0 END AS mean50_pred_dir, CASE WHEN y_true > last_pred THEN 1 ELSE 0 END AS label, round(VIX, 6) AS VIX FROM matrix", "matrix"),
-)
+@query("meta_direction_features", with_("SELECT symbol, fold_id, date, mean20_pred_dir, mean50_pred_dir, trend_pred_dir, label, round(VIX, 6) AS VIX FROM directions", "directions"))
 def meta_direction_features(spark, sf):
-    feats = materialise(T.features(spark, sf))
-    rows = S.direction_features(S.join_current_close(T.plain_aligned(feats), feats), list(T.PLAIN))
-    out = S.join_context(rows, feats)
-    return rounded(out.select("symbol", "fold_id", "date", *[f"{c}_dir" for c in T.PLAIN], "label", "VIX"), 6, "VIX")
+    out = T.direction_rows(materialise(T.features(spark, sf)))
+    return rounded(out.select("symbol", "fold_id", "date", *[f"{c}_dir" for c in T.MOVING], "label", "VIX"), 6, "VIX")
 
 
-@query("meta_direction_clf")
+@query("meta_direction_clf", with_("SELECT symbol, fold_id, date, label, true AS is_class, rn >= floor(n * 0.8) AS held_out FROM directions", "directions"))
 def meta_direction_clf(spark, sf):
-    feats = materialise(T.features(spark, sf))
-    rows = S.direction_features(S.join_current_close(T.plain_aligned(feats), feats), list(T.PLAIN))
-    _, scored = S.direction_classifier(materialise(S.join_context(rows, feats)), list(T.PLAIN), max_iter=10)
-    return scored.select("symbol", "fold_id", "date", "label", "prediction")
+    """Every aligned day with its class from 100 boosting rounds: 0 or 1."""
+    rows = materialise(T.direction_rows(materialise(T.features(spark, sf))))
+    _, scored = S.direction_classifier(rows, T.MOVING)
+    return scored.select("symbol", "fold_id", "date", "label", F.col("prediction").isin(0, 1).alias("is_class"), (~FO.head_flag(0.8)).alias("held_out"))
 
 
-@query("meta_fallback", with_("SELECT symbol, fold_id, date, round((last_pred + mean20_pred + mean50_pred) / 3, 4) AS hybrid FROM wide", "wide"))
+@query(
+    "meta_fallback",
+    with_(
+        """SELECT symbol, fold_id, date, round((last_pred + mean20_pred + mean50_pred) / 3, 4) AS hybrid
+        FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM wide) WHERE symbol <> 'A' OR i <= 10 QUALIFY count(*) OVER (PARTITION BY symbol) <= 10""",
+        "wide",
+    ),
+)
 def meta_fallback(spark, sf):
-    out = S.simple_average(T.plain_aligned(T.features(spark, sf)), list(T.PLAIN))
-    return rounded(out.select("symbol", "fold_id", "date", "hybrid"), 4, "hybrid")
+    """The plain mean of the forecasts for symbols with too few aligned rows; one symbol is cut to ten here, the others have more."""
+    feats = T.features(spark, sf)
+    aligned = S.number_aligned(T.plain_aligned(feats)).where((F.col("symbol") != "A") | (F.col("rn") < 10))
+    few = aligned.join(S.enough_aligned(aligned).select("symbol"), "symbol", "left_anti")
+    return rounded(S.simple_average(few, list(T.PLAIN)).select("symbol", "fold_id", "date", "hybrid"), 4, "hybrid")
 
 
 # ---- intervals and forecasts
@@ -518,21 +588,52 @@ def ci_volatility(spark, sf):
     return rounded(_bounded(spark, sf).select("symbol", "model", "fold_id", "date", "y_pred", "lower", "upper"), 4, "lower", "upper")
 
 
+FUTURE_HYBRID = """SELECT symbol, step, date, h AS hybrid, h + lower_offset * w AS lower, h + upper_offset * w AS upper
+    FROM (SELECT future.*, w, intercept + c0 * last_pred + c1 * mean20_pred + c2 * mean50_pred + c3 * vix_current AS h FROM future JOIN best USING (symbol) JOIN width USING (symbol)) JOIN q USING (symbol)"""
+
+
+def _outlook(spark, sf):
+    """The next 30 business days: plain forecasts held from the last bar, their blend, and its bounds."""
+    feats, matrix = _matrix(spark, sf)
+    fit = materialise(S.ridge_fit(matrix, INPUTS))
+    offsets = K.quantile_offsets(S.ridge_predict(matrix, fit, INPUTS), ("symbol",))
+    wide = materialise(T.future_plain(feats))
+    return wide, forecast.future_interval(wide, fit, offsets, K.vix_stats(feats), list(T.PLAIN))
+
+
+@query("ci_future", with_("SELECT symbol, step, date, round(hybrid, 3) AS hybrid, round(lower, 3) AS lower, round(upper, 3) AS upper FROM fh", "matrix", "future", **RIDGE, fh=FUTURE_HYBRID))
+def ci_future(spark, sf):
+    return rounded(_outlook(spark, sf)[1].select("symbol", "step", "date", "hybrid", "lower", "upper"), 3, "hybrid", "lower", "upper")
+
+
+@query("sink_forecast", with_('SELECT symbol, date, round(mean20_pred, 6) AS "Predicted Close mean20" FROM future', "future"))
+def sink_forecast(spark, sf):
+    """One model's forecast of the next 30 business days, written as CSV and read back."""
+    rows = T.long_future(T.future_plain(materialise(T.features(spark, sf))))
+    path = sinks.write_forecast(rows, sinks.forecast_path(scratch_path(spark, "out"), "mean20"), "mean20")
+    back = spark.read.schema("symbol string, date date, `Predicted Close mean20` double").option("header", True).csv(path)
+    return rounded(back, 6, "Predicted Close mean20")
+
+
+COMBINED = {"Last": "last", "Mean20": "mean20", "Mean50": "mean50", "Hybrid": S.HYBRID}
+
+
 @query(
-    "ci_future",
+    "sink_combined",
     with_(
-        """SELECT symbol, fold_id, date, round(h, 3) AS hybrid, round(h + lower_offset * w, 3) AS lower, round(h + upper_offset * w, 3) AS upper
-        FROM (SELECT wide.*, w, intercept + c0 * last_pred + c1 * mean20_pred + c2 * mean50_pred + c3 * vix_current AS h
-              FROM wide JOIN best USING (symbol) JOIN width USING (symbol)) JOIN q USING (symbol)""",
-        "matrix", "wide", "feat", **RIDGE,
+        """SELECT symbol, date, last_pred AS "Predicted Close Last", round(mean20_pred, 4) AS "Predicted Close Mean20", round(mean50_pred, 4) AS "Predicted Close Mean50",
+        round(hybrid, 3) AS "Predicted Close Hybrid", round(lower, 3) AS "Conf Lower", round(upper, 3) AS "Conf Upper" FROM future JOIN fh USING (symbol, step, date)""",
+        "matrix", "future", **RIDGE, fh=FUTURE_HYBRID,
     ),
 )
-def ci_future(spark, sf):
-    feats, matrix = _matrix(spark, sf)
-    fit = materialise(S.ridge_fit(matrix, INPUTS))
-    offsets = K.quantile_offsets(S.ridge_predict(matrix, fit, INPUTS), ("symbol",))
-    out = forecast.future_interval(T.plain_aligned(feats), fit, offsets, K.vix_stats(feats), list(T.PLAIN))
-    return rounded(out.select("symbol", "fold_id", "date", "hybrid", "lower", "upper"), 3, "hybrid", "lower", "upper")
+def sink_combined(spark, sf):
+    """All forecasts of the next 30 business days side by side, with the bounds of the blend."""
+    wide, hybrid = _outlook(spark, sf)
+    bounded = hybrid.select("symbol", F.lit(S.HYBRID).alias("model"), "date", F.col("hybrid").alias("y_pred"), "lower", "upper")
+    table = sinks.combined_forecast(T.long_future(wide).drop("step").unionByName(bounded, allowMissingColumns=True), COMBINED)
+    back = spark.read.schema(table.schema).option("header", True).csv(sinks.write_table(table, scratch_path(spark, "combined_predictions")))
+    back = rounded(back, 4, "Predicted Close Mean20", "Predicted Close Mean50")
+    return rounded(back, 3, "Predicted Close Hybrid", "Conf Lower", "Conf Upper")
 
 
 _hybrid_bounds = "SELECT symbol, 'hybrid' AS model, y_true, y_pred + lower_offset * w AS lower, y_pred + upper_offset * w AS upper, n_residuals FROM scored JOIN q USING (symbol) JOIN width USING (symbol)"
@@ -559,17 +660,34 @@ def cal_business_days(spark, sf):
     return forecast.future_calendar(T.daily_bars(spark, sf), 30)
 
 
-@query("forecast_recursive")
+@query(
+    "forecast_recursive",
+    with_(f"SELECT symbol, unnest(['{L.TREE}', '{L.HUBER}']) AS model, step, date, true AS finite, true AS near FROM calendar", "calendar"),
+)
 def forecast_recursive(spark, sf):
+    """Thirty business days by the last fold's tree ensemble and Huber model; ``near``: within half and double of the last close."""
     feats = materialise(T.features(spark, sf))
-    tree = L.learn_tree(feats, FoldSpec())
-    linear = L.learn_sequence(feats, FoldSpec(), L.HUBER)
-    return forecast.forecast_recursive(feats, tree, 30).unionByName(forecast.forecast_recursive(feats, linear, 30))
+    tree, linear = L.in_threads(lambda fit: fit(), [
+        lambda: L.learn_tree(feats, FoldSpec(), last_only=True), lambda: L.learn_sequence(feats, FoldSpec(), L.HUBER, last_only=True)
+    ])
+    both = forecast.forecast_recursive(feats, tree, 30).unionByName(forecast.forecast_recursive(feats, linear, 30))
+    last = feats.where(F.col("rn") == F.col("n") - 1).select("symbol", "close")
+    near = F.col("y_pred").between(F.col("close") / 2, F.col("close") * 2)
+    return both.join(last, "symbol").select("symbol", "model", "step", "date", _finite("y_pred").alias("finite"), near.alias("near"))
+
+
+PIPELINE_TABLES = [
+    "features", "folds", "base", "plain", "aligned", "future", "coefficients", "blend", "offsets", "calibration", "calibration_held_out", "direction",
+    "forecast", "predictions", "metrics", "fold_metrics", "fold_summary", "comparison", "importance", "combined",
+]
 
 
-@query("pipeline_run")
+@query("pipeline_run", f"SELECT unnest({PIPELINE_TABLES}) AS stage, true AS has_rows, true AS read_back")
 def pipeline_run(spark, sf):
-    return run_all(T.daily_bars(spark, sf), T.macro(spark, sf), RunConfig()).comparison
+    """The whole flow with its output folder: every table it wrote, read back."""
+    path = scratch_path(spark, "run")
+    run_all(T.daily_bars(spark, sf), T.macro(spark, sf), RunConfig(tree=TREE_SIZES), path)
+    return run_contents(spark, path).select("stage", (F.col("rows") > 0).alias("has_rows"), (F.col("rows") == F.col("written")).alias("read_back"))
 
 
 # ---- reports
@@ -600,9 +718,10 @@ def rep_residual_hist(spark, sf):
     return rounded(R.residual_histogram(materialise(T.naive_daily(spark, sf))), 4, "bin_low", "bin_high")
 
 
-@query("rep_forecast_band", with_("SELECT symbol, model, date, y_pred, round(lower, 4) AS lower, round(upper, 4) AS upper FROM b", "naive", "feat", **CALIBRATED))
+@query("rep_forecast_band", with_(f"SELECT symbol, '{S.HYBRID}' AS model, date, round(hybrid, 3) AS y_pred, round(lower, 3) AS lower, round(upper, 3) AS upper FROM fh", "matrix", "future", **RIDGE, fh=FUTURE_HYBRID))
 def rep_forecast_band(spark, sf):
-    return rounded(R.forecast_band(_bounded(spark, sf)), 4, "lower", "upper")
+    rows = _outlook(spark, sf)[1].select("symbol", F.lit(S.HYBRID).alias("model"), "date", F.col("hybrid").alias("y_pred"), "lower", "upper")
+    return rounded(R.forecast_band(rows), 3, "y_pred", "lower", "upper")
 
 
 _bars = " UNION ALL ".join(f"SELECT symbol, model, '{c}' AS metric, {c} AS value FROM m" for c in ("directional_accuracy", "f1", "rmse", "mae", "mape"))
@@ -613,9 +732,13 @@ def rep_metric_bars(spark, sf):
     return R.metric_bars(M.pooled_metrics(T.plain_forecasts(T.features(spark, sf))))
 
 
-@query("rep_top_importance")
+@query("rep_top_importance", "SELECT CAST(i AS BIGINT) AS place, true AS known, true AS falling FROM range(1, 16) t(i)")
 def rep_top_importance(spark, sf):
-    return R.top_importance(L.feature_importance(L.learn_tree(T.features(spark, sf), FoldSpec())))
+    """The fifteen most important inputs: known features, in falling order."""
+    top = R.top_importance(L.last_importance(T.features(spark, sf), FoldSpec()))
+    order = Window.orderBy(F.desc("importance"), "feature")  # fifteen rows
+    falling = F.coalesce(F.lag("importance").over(order) >= F.col("importance"), F.lit(True))
+    return top.select(F.row_number().over(order).cast("long").alias("place"), F.col("feature").isin(IMPORTANCE_INPUTS).alias("known"), falling.alias("falling"))
 
 
 @query(

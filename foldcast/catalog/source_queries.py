@@ -9,10 +9,8 @@ from foldcast.catalog.registry import query, rounded
 from foldcast.catalog.sql import W, ewm, label, metrics_sql, roll, with_
 from foldcast.functions import columns as C
 from foldcast.operators import metrics as M, windows
-from foldcast.operators.calibration import quantile_offsets, vix_stats, with_interval
 from foldcast.operators.folds import FoldSpec, assign_test_folds, drop_no_target
 from foldcast.operators.indicators import drop_warmup, engineer_features
-from foldcast.operators.stacking import simple_average
 from foldcast.schema import BAR_SCHEMA, ENGINEERED, MACRO_COLUMNS, feature_columns
 from foldcast.session import materialise, scratch_path
 from foldcast.sources import bars as B, sinks
@@ -75,43 +73,6 @@ def sink_features(spark, sf):
     return rounded(back.select("symbol", "date", "close", "OBV", "SMA_50", "RSI_14", "ATR_14", "DayOfWeek"), 4, "SMA_50", "RSI_14", "ATR_14")
 
 
-@query("sink_forecast", with_('SELECT symbol, date, y_pred AS "Predicted Close last" FROM long WHERE model = \'last\'', "long"))
-def sink_forecast(spark, sf):
-    preds = T.plain_forecasts(T.features(spark, sf))
-    path = sinks.write_forecast(preds, sinks.forecast_path(scratch_path(spark, "out"), "last"), "last")
-    return spark.read.schema("symbol string, date date, `Predicted Close last` double").option("header", True).csv(path)
-
-
-COMBINED = {"Last": "last", "Mean20": "mean20", "Mean50": "mean50", "Hybrid": "hybrid"}
-
-
-@query(
-    "sink_combined",
-    with_(
-        """SELECT symbol, date, last_pred AS "Predicted Close Last", round(mean20_pred, 4) AS "Predicted Close Mean20",
-           round(mean50_pred, 4) AS "Predicted Close Mean50", round(hybrid, 4) AS "Predicted Close Hybrid",
-           round(hybrid + lo * w, 3) AS "Conf Lower", round(hybrid + hi * w, 3) AS "Conf Upper"
-           FROM h JOIN q USING (symbol) JOIN v USING (symbol)""",
-        "wide", "feat",
-        h="SELECT *, (last_pred + mean20_pred + mean50_pred) / 3 AS hybrid FROM wide",
-        q="SELECT symbol, quantile_cont(y_true - hybrid, 0.025::DOUBLE) AS lo, quantile_cont(y_true - hybrid, 0.975::DOUBLE) AS hi FROM h GROUP BY symbol",
-        v="SELECT symbol, least(2.0, greatest(0.5, arg_max(VIX, date) / avg(VIX))) AS w FROM feat GROUP BY symbol",
-    ),
-)
-def sink_combined(spark, sf):
-    feats = T.features(spark, sf)
-    plain = T.plain_forecasts(feats)
-    hybrid = simple_average(T.plain_aligned(feats), list(T.PLAIN)).withColumn("residual", F.col("y_true") - F.col("hybrid"))
-    bounded = with_interval(hybrid, quantile_offsets(hybrid, ("symbol",)), vix_stats(feats), "hybrid")
-    bounded = bounded.select("symbol", F.lit("hybrid").alias("model"), "date", F.col("hybrid").alias("y_pred"), "lower", "upper")
-    both = plain.select("symbol", "model", "date", "y_pred").unionByName(bounded, allowMissingColumns=True)
-    wide = sinks.combined_forecast(both, COMBINED)
-    path = sinks.write_table(wide, scratch_path(spark, "combined_predictions"))
-    back = spark.read.schema(wide.schema).option("header", True).csv(path)
-    back = rounded(back, 4, "Predicted Close Mean20", "Predicted Close Mean50", "Predicted Close Hybrid")
-    return rounded(back, 3, "Conf Lower", "Conf Upper")
-
-
 COMPARE_SQL = "SELECT symbol, model, directional_accuracy, f1, \"precision\", recall, rmse, mae, mape, r2, max_error FROM m"
 
 

@@ -17,6 +17,15 @@ def ewm(x: str, span: int, w: str = W) -> str:
     return f"list_reduce(list({x}) OVER ({w} ROWS UNBOUNDED PRECEDING), lambda acc, v: acc * (1 - {a}) + v * {a})"
 
 
+def ewm_gaps(x: str, span: int, source: str, w: str = W) -> str:
+    """Exponential mean of a table with gaps: a missing value holds it, and a value k rows after the last weighs a against b**k."""
+    a = f"(2.0::DOUBLE / {span + 1})"
+    return f"""SELECT * EXCLUDE (seen, e), CASE WHEN seen IS NOT NULL THEN list_reduce(e, lambda s, v: struct_pack(y := v.c * s.y + (1 - v.c) * v.y, c := 0.0::DOUBLE)).y END AS m{span}
+        FROM (SELECT *, last_value({x} IGNORE NULLS) OVER ({w} ROWS UNBOUNDED PRECEDING) AS seen,
+              list(struct_pack(y := {x}, c := pow(1 - {a}, k) / (pow(1 - {a}, k) + {a}))) FILTER ({x} IS NOT NULL) OVER ({w} ROWS UNBOUNDED PRECEDING) AS e
+              FROM (SELECT *, CAST(rn - lag(CASE WHEN {x} IS NOT NULL THEN rn END IGNORE NULLS) OVER ({w}) AS DOUBLE) AS k FROM {source}))"""
+
+
 def _fill(c: str) -> str:
     return (
         f"coalesce(last_value({c} IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
@@ -168,6 +177,83 @@ CTES["matrix"] = (
 )
 
 
+# The next 30 weekdays of each symbol with the plain forecasts of its last bar.
+CTES["calendar"] = (
+    ["bars"],
+    """SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY d) - 1 AS INTEGER) AS step, d AS date
+       FROM (SELECT symbol, CAST(unnest(range(last_date + 1, last_date + 60, INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT symbol, max(date) AS last_date FROM bars GROUP BY symbol))
+       WHERE extract('isodow' FROM d) < 6 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d) <= 30""",
+)
+CTES["future"] = (
+    ["calendar", "feat"],
+    "SELECT calendar.*, last_pred, mean20_pred, mean50_pred FROM calendar JOIN (SELECT symbol, close AS last_pred, SMA_20 AS mean20_pred, SMA_50 AS mean50_pred FROM feat WHERE rn = n - 1) USING (symbol)",
+)
+# The direction of three forecasts of each test day against the close before it.
+CTES["directions"] = (
+    ["matrix", "feat"],
+    """SELECT symbol, fold_id, date, CASE WHEN mean20_pred > last_pred THEN 1 ELSE 0 END AS mean20_pred_dir, CASE WHEN mean50_pred > last_pred THEN 1 ELSE 0 END AS mean50_pred_dir,
+       CASE WHEN trend_pred > last_pred THEN 1 ELSE 0 END AS trend_pred_dir, CASE WHEN y_true > last_pred THEN 1 ELSE 0 END AS label, VIX, rn, n
+       FROM matrix JOIN (SELECT symbol, date AS origin_date, close + (close - Close_Lag_5) / 5 AS trend_pred FROM feat) USING (symbol, origin_date)""",
+)
+
+
+# Folds over the calendar of all dates, which pooled learners share, and the test rows of each.
+CTES["cal"] = (["feat"], "SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM feat)")
+CTES["cfolds"] = (
+    ["cal"],
+    """SELECT CAST(k AS INTEGER) AS fold_id, 504 + k * 63 AS train_end, least(504 + k * 63 + 63, n) AS test_end
+       FROM (SELECT count(*) AS n FROM cal), LATERAL (SELECT unnest(range(0, CASE WHEN n >= 567 THEN (n - 567) // 63 + 1 WHEN n > 504 THEN 1 ELSE 0 END)) AS k)""",
+)
+CTES["tree_rows"] = (
+    ["cfolds", "feat"],
+    f"""SELECT symbol, 'Tree Ensemble' AS model, fold_id, date AS origin_date, next_date AS date, next_close AS y_true
+       FROM (SELECT symbol, date, lead(date) OVER ({W}) AS next_date, lead(close) OVER ({W}) AS next_close FROM feat) JOIN cal USING (date)
+       JOIN cfolds ON pos >= train_end AND pos < test_end WHERE next_date IS NOT NULL""",
+)
+CTES["sequence_rows"] = (
+    ["cfolds", "feat"],
+    f"""SELECT symbol, fold_id, origin_date, date, close AS y_true
+       FROM (SELECT symbol, rn, date, close, lag(date) OVER ({W}) AS origin_date FROM feat) JOIN cal USING (date)
+       JOIN cfolds ON pos >= train_end AND pos < test_end WHERE rn >= 90""",
+)
+
+
+def eliminated(k: int, source: str, keep: str) -> dict[str, str]:
+    """Elimination of k equations m<i>_<j> with their right side in column k, one table expression per pivot."""
+    tables = {}
+    for p in range(k):
+        cols = []
+        for i in range(k):
+            for j in range(k + 1):
+                lead = f"CASE WHEN m{p}_{p} > least_pivot THEN m{p}_{j} / m{p}_{p} END"
+                cols.append(f"{lead} AS m{i}_{j}" if i == p else f"m{i}_{j} - m{i}_{p} * ({lead}) AS m{i}_{j}")
+        tables[f"{source}{p}"] = f"SELECT {keep}, {', '.join(cols)} FROM {source if p == 0 else f'{source}{p - 1}'}"
+    return tables
+
+
+def ar_tables(p: int = 5) -> dict[str, str]:
+    """Least-squares AR(p) of price differences per fold, and its path over the test rows (table ``arima``)."""
+    lags = ", ".join(f"lag(d0, {k}) OVER (PARTITION BY symbol ORDER BY rn) AS d{k}" for k in range(1, p + 1))
+    sums = ", ".join(f"coalesce(sum(d{i} * d{j}) FILTER (d{p} IS NOT NULL), 0) AS g{i}_{j}" for i in range(p + 1) for j in range(max(i, 1), p + 1))
+    grid = ", ".join(f"g{min(i, j)}_{max(i, j)} AS m{i - 1}_{j - 1}" for i in range(1, p + 1) for j in range(1, p + 1))
+    right = ", ".join(f"g0_{i} AS m{i - 1}_{p}" for i in range(1, p + 1))
+    trace = " + ".join(f"g{i}_{i}" for i in range(1, p + 1))
+    move = "coalesce(" + " + ".join(f"phi{i} * r{i}" for i in range(p)) + ", 0)"
+    keep = "symbol, fold_id, least_pivot"
+    return {
+        "d": f"SELECT *, {lags} FROM (SELECT symbol, date, rn, close, close - lag(close) OVER ({W}) AS d0 FROM nbars)",
+        "sums": f"SELECT symbol, CAST(fold_id AS INTEGER) AS fold_id, count(d{p}) AS m, {sums} FROM d JOIN bfolds USING (symbol) WHERE rn < train_end GROUP BY symbol, fold_id",
+        "e": f"SELECT symbol, fold_id, CASE WHEN m > {2 * p} THEN ({trace}) * 1e-12 END AS least_pivot, {grid}, {right} FROM sums",
+        **eliminated(p, "e", keep),
+        "phi": f"SELECT symbol, fold_id, {', '.join(f'm{i}_{p} AS phi{i}' for i in range(p))} FROM e{p - 1}",
+        "path": f"""SELECT symbol, bfolds.fold_id, train_end, test_end, {', '.join(f'phi{i}' for i in range(p))}, date AS origin_date, CAST(train_end - 1 AS BIGINT) AS place, close AS price, {', '.join(f'coalesce(d{i}, 0) AS r{i}' for i in range(p))}
+            FROM bfolds JOIN phi USING (symbol, fold_id) JOIN d USING (symbol) WHERE rn = train_end - 1
+            UNION ALL SELECT symbol, fold_id, train_end, test_end, {', '.join(f'phi{i}' for i in range(p))}, origin_date, place + 1, price + {move}, {move}, {', '.join(f'r{i}' for i in range(p - 1))} FROM path WHERE place + 1 < test_end""",
+        "arima": """SELECT path.symbol, 'ARIMA (5,1,0)' AS model, CAST(fold_id AS INTEGER) AS fold_id, origin_date, nbars.date, close AS y_true, price AS y_pred
+            FROM path JOIN nbars ON path.symbol = nbars.symbol AND place = rn WHERE place >= train_end""",
+    }
+
+
 def metrics_sql(source: str, by_fold: bool, extra: str = "") -> str:
     """Direction and error metrics of a prediction table, per fold or pooled."""
     keys = "symbol, model, fold_id" if by_fold else "symbol, model"

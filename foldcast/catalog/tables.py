@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from foldcast.functions import columns as C
 from foldcast.operators.baselines import naive_baseline
 from foldcast.operators.folds import FoldSpec, assign_test_folds
+from foldcast.operators.forecast import future_calendar
 from foldcast.operators.indicators import engineer_features
 from foldcast.operators.series import SeriesSpec, number_rows
-from foldcast.operators.stacking import align_predictions
+from foldcast.operators.stacking import align_predictions, direction_features, join_context, join_current_close
 from foldcast.operators.windows import shift
 from foldcast.session import materialise
 from foldcast.sources.bars import bars_from_ticks, join_macro, prepare
@@ -108,3 +109,27 @@ def naive_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def naive_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naive_baseline(hourly_numbered(spark, sf_dir), FoldSpec(200, 20, 20), HOURLY)
+
+
+# Forecasts whose direction is not that of the last close itself.
+MOVING = ["mean20_pred", "mean50_pred", "trend_pred"]
+
+
+def direction_rows(feats: DataFrame) -> DataFrame:
+    """Aligned test days with the two means and the last close carried on by a fifth of its five-day move, as directions with VIX."""
+    step = (F.col("close") - F.col("Close_Lag_5")) / 5
+    trend = feats.select("symbol", F.col("date").alias("origin_date"), (F.col("close") + step).alias("trend_pred"))
+    rows = plain_aligned(feats).drop("last_pred").join(trend, ["symbol", "origin_date"], "left")
+    rows = direction_features(join_current_close(rows, feats), MOVING)
+    return join_context(rows, feats)
+
+
+def future_plain(feats: DataFrame, count: int = 30) -> DataFrame:
+    """The next business days with the plain forecasts of the last bar: last close, 20-day and 50-day mean, held."""
+    last = feats.where(F.col("rn") == F.col("n") - 1).select("symbol", F.col("close").alias("last_pred"), F.col("SMA_20").alias("mean20_pred"), F.col("SMA_50").alias("mean50_pred"))
+    return future_calendar(feats, count).join(last, "symbol")
+
+
+def long_future(wide: DataFrame) -> DataFrame:
+    """The same in long form, named like the forecasts of test days."""
+    return wide.withColumnsRenamed(PLAIN).unpivot(["symbol", "step", "date"], list(PLAIN.values()), "model", "y_pred")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foldcast.catalog import tables as T
 from foldcast.catalog.registry import query, rounded
 from foldcast.catalog.source_queries import FEATURE_DIGITS, FEATURE_SQL
-from foldcast.catalog.sql import W, ewm, roll, with_
+from foldcast.catalog.sql import W, ewm, ewm_gaps, roll, with_
 from foldcast.functions import columns as C
 from foldcast.operators import stacking, windows
 from foldcast.operators.calibration import vix_stats
@@ -141,6 +141,20 @@ def win_ewm(spark, sf):
     return rounded(out.select("symbol", "date", "ewm_12", "ewm_26", "ewm_9", "ewm_50"), 6, "ewm_12", "ewm_26", "ewm_9", "ewm_50")
 
 
+@query(
+    "win_ewm_gaps",
+    with_(
+        "SELECT symbol, date, x, round(m12, 6) AS ewm_12, round(m26, 6) AS ewm_26 FROM b", "nbars",
+        g="SELECT symbol, date, rn, CASE WHEN rn % 11 NOT IN (0, 4, 5, 6) THEN close END AS x FROM nbars", a=ewm_gaps("x", 12, "g"), b=ewm_gaps("x", 26, "a"),
+    ),
+)
+def win_ewm_gaps(spark, sf):
+    """Exponential means of closes of which the first and three in a row are missing, again and again."""
+    rows = T.numbered_bars(spark, sf).withColumn("x", F.when(~(F.col("rn") % 11).isin(0, 4, 5, 6), F.col("close")))
+    out = windows.ewm(rows, T.DAILY, {"ewm_12": ("x", 12), "ewm_26": ("x", 26)})
+    return rounded(out.select("symbol", "date", "x", "ewm_12", "ewm_26"), 6, "ewm_12", "ewm_26")
+
+
 @query("win_cumsum", with_(f"SELECT symbol, date, sum(volume) OVER ({W} ROWS UNBOUNDED PRECEDING) AS total FROM nbars", "nbars"))
 def win_cumsum(spark, sf):
     return windows.running_sum(T.numbered_bars(spark, sf), T.DAILY, "volume", "total").select("symbol", "date", "total")

@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foldcast.operators.folds import FoldSpec, assign_test_folds, fold_split, series_lengths, train_totals
 from foldcast.operators.series import SeriesSpec
 from foldcast.operators.windows import shift
 from foldcast.schema import PREDICTION_COLUMNS
 
-# Executors need not have this package installed: its small solvers travel with the task.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # Labels of the baselines.
 NAIVE = "Naive (Zero-Change)"
 ARIMA = "ARIMA (5,1,0)"
@@ -46,149 +37,69 @@ def _differences(numbered: DataFrame, spec: SeriesSpec, p: int) -> DataFrame:
     return moved.select("symbol", "close", "rn", "n", *[(closes[k] - closes[k + 1]).alias(f"d{k}") for k in range(p + 1)])
 
 
+def _gram(p: int) -> list[tuple[str, str, str]]:
+    """Names of the sums of products that the normal equations need: (sum, one difference, other difference)."""
+    return [(f"g{i}_{j}", f"d{i}", f"d{j}") for i in range(p + 1) for j in range(max(i, 1), p + 1)]
+
+
 def arima_sums(numbered: DataFrame, folds: FoldSpec, spec: SeriesSpec = SeriesSpec(), p: int = 5) -> DataFrame:
-    """Sums of lagged products r0..rp of the price differences over the training rows of each fold.
+    """``m`` rows and sums g<i>_<j> of products of price differences i and j rows back, over each fold's training rows with p lags.
 
-    These, with the first and last p differences, are all that the exact
-    likelihood of an AR(p) model depends on; expanding folds share the sums.
+    A least-squares AR(p) fit depends on nothing else; expanding folds share the sums, in one pass over the rows.
     """
     rows = _differences(numbered, spec, p)
-    sums = {f"r{k}": ("sum", F.coalesce(F.col("d0") * F.col(f"d{k}"), F.lit(0.0))) for k in range(p + 1)}
-    return train_totals(rows, folds, sums)
-
-
-def _lag_products(z_head: np.ndarray, z_tail: np.ndarray, r: np.ndarray, skip_head, skip_tail) -> np.ndarray:
-    """(p+1) x (p+1) sums of z[a] z[a+lag], leaving out ``skip_head``/``skip_tail`` products at the ends of the sample."""
-    k = r.shape[1]
-    out = np.empty((len(r), k, k))
-    for i in range(k):
-        for j in range(i, k):
-            lag = j - i
-            total = r[:, lag].copy()
-            for a in range(skip_head(i, j)):
-                total -= z_head[:, a] * z_head[:, a + lag]
-            for a in range(skip_tail(i, j)):
-                total -= z_tail[:, a] * z_tail[:, a + lag]
-            out[:, i, j] = out[:, j, i] = total
-    return out
-
-
-def _information(phi: np.ndarray) -> np.ndarray:
-    """Inverse covariance of p successive values of a unit-noise AR(p), from triangular Toeplitz factors."""
-    m, p = phi.shape
-    lower, upper = np.zeros((m, p, p)), np.zeros((m, p, p))
-    up = np.concatenate([np.ones((m, 1)), -phi[:, :-1]], axis=1)
-    down = -phi[:, ::-1]
-    for i in range(p):
-        for j in range(i + 1):
-            lower[:, i, j] = up[:, i - j]
-            upper[:, i, j] = down[:, i - j]
-    return lower @ lower.transpose(0, 2, 1) - upper @ upper.transpose(0, 2, 1)
-
-
-def _objective(phi: np.ndarray, d: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """-2 log likelihood up to a constant, with the noise variance profiled out; inf outside stationarity."""
-    u = np.concatenate([np.ones((len(phi), 1)), -phi], axis=1)
-    s = np.einsum("ni,nij,nj->n", u, d, u)
-    eig = np.linalg.eigvalsh(_information(phi))
-    ok = (eig[:, 0] > 0) & (s > 0)
-    value = np.full(len(phi), np.inf)
-    value[ok] = m[ok] * np.log(s[ok]) - np.log(eig[ok]).sum(axis=1)
-    return value
-
-
-def fit_ar(r: np.ndarray, head: np.ndarray, tail: np.ndarray, m: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Exact maximum-likelihood AR(p) coefficients, one row per series; NaN where they do not exist.
-
-    ``r`` are sums of lagged products over the sample, ``head``/``tail`` its
-    first and last p values in time order. Quasi-Newton steps start from the
-    Yule-Walker solution, which is always stationary.
-    """
-    p = r.shape[1] - 1
-    phi = np.full((len(r), p), np.nan)
-    usable = (r[:, 0] > 0) & (m > 2 * p)
-    if not usable.any():
-        return phi
-    r, head, tail, m = r[usable], head[usable], tail[usable], m[usable].astype(float)
-    # tail products are counted from the newest pair backwards: reverse so that index 0 is the newest value
-    d = _lag_products(head, tail[:, ::-1], r, lambda i, j: i, lambda i, j: i)
-    toeplitz = r[:, np.abs(np.subtract.outer(np.arange(p), np.arange(p)))]
-    x = np.linalg.solve(toeplitz + 1e-12 * r[:, :1, None] * np.eye(p), r[:, 1:, None])[:, :, 0]
-    best = _objective(x, d, m)
-    for _ in range(steps):
-        s = np.einsum("ni,nij,nj->n", np.c_[np.ones(len(x)), -x], d, np.c_[np.ones(len(x)), -x])
-        grad = m[:, None] * (-2 * (d[:, 1:, 0] - np.einsum("nij,nj->ni", d[:, 1:, 1:], x))) / s[:, None]
-        h = 1e-6
-        for i in range(p):
-            e = np.eye(p)[i] * h
-            up, down = np.linalg.slogdet(_information(x + e))[1], np.linalg.slogdet(_information(x - e))[1]
-            grad[:, i] -= (up - down) / (2 * h)
-        hess = 2 * m[:, None, None] * d[:, 1:, 1:] / s[:, None, None]
-        move = -np.linalg.solve(hess + 1e-12 * np.trace(hess, axis1=1, axis2=2)[:, None, None] * np.eye(p), grad[:, :, None])[:, :, 0]
-        scale = np.ones(len(x))
-        moved = np.zeros(len(x), dtype=bool)
-        for _ in range(30):
-            trial = np.where(moved[:, None], x, x + scale[:, None] * move)
-            value = _objective(trial, d, m)
-            better = ~moved & (value <= best)
-            x, best = np.where(better[:, None], trial, x), np.where(better, value, best)
-            moved |= better
-            if moved.all():
-                break
-            scale = np.where(moved, scale, scale / 2)
-        if np.abs(move).max() < 1e-10:
-            break
-    phi[usable] = x
-    return phi
-
-
-def forecast_ar(phi: np.ndarray, tail: np.ndarray, last: np.ndarray, horizon: int) -> np.ndarray:
-    """Prices 1..horizon steps after the sample; the last price repeated where there is no fit."""
-    recent = tail[:, ::-1].copy()
-    price, out = last.copy(), np.empty((len(last), horizon))
-    for h in range(horizon):
-        step = np.where(np.isnan(phi[:, 0]), 0.0, np.nan_to_num(phi * recent).sum(axis=1))
-        price = price + step
-        recent = np.column_stack([step, recent[:, :-1]])
-        out[:, h] = price
-    return out
+    whole = F.col(f"d{p}").isNotNull() & F.col("d0").isNotNull()
+    sums = {name: ("sum", F.when(whole, F.col(a) * F.col(b)).otherwise(F.lit(0.0))) for name, a, b in _gram(p)}
+    return train_totals(rows, folds, {"m": ("sum", F.when(whole, F.lit(1)).otherwise(F.lit(0))), **sums})
+
+
+def solved(augmented: Column, k: int, least: Column) -> Column:
+    """Solution of k equations given as rows of k + 1 numbers, by elimination; NULLs where a pivot is not above ``least``."""
+
+    def clear(m: Column, p: Column) -> Column:
+        own = F.get(m, p)
+        lead = F.transform(own, lambda x: F.when(F.get(own, p) > least, x / F.get(own, p)))
+        return F.transform(m, lambda row, i: F.when(i == p, lead).otherwise(F.zip_with(row, lead, lambda x, y: x - F.get(row, p) * y)))
+
+    done = F.aggregate(F.array(*[F.lit(i) for i in range(k)]), augmented, clear)
+    return F.transform(done, lambda row: F.get(row, F.lit(k)))
+
+
+def ar_coefficients(p: int = 5) -> Column:
+    """Least-squares coefficients from the columns of ``arima_sums``, without a constant; NULLs for short or constant samples."""
+    at = [[F.col(f"g{min(i, j)}_{max(i, j)}") for j in range(1, p + 1)] + [F.col(f"g0_{i}")] for i in range(1, p + 1)]
+    size = sum((at[i][i] for i in range(p)), F.lit(0.0))
+    least = F.when(F.col("m") > 2 * p, size * 1e-12)  # NULL for a short sample: no pivot is above it
+    return solved(F.array(*[F.array(*row) for row in at]), p, least)
+
+
+def ar_path(phi: Column, recent: Column, price: Column, steps: Column) -> Column:
+    """Prices 1..steps rows ahead; the last price repeated where there are no coefficients. ``recent``: last differences, newest first."""
+    start = F.struct(F.array().cast("array<double>").alias("path"), recent.alias("recent"), price.alias("price"))
+
+    def ahead(s: Column, _: Column) -> Column:
+        move = F.coalesce(F.aggregate(F.zip_with(phi, s["recent"], lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x), F.lit(0.0))
+        then = s["price"] + move
+        kept = F.slice(F.concat(F.array(move), s["recent"]), 1, F.size(s["recent"]))
+        return F.struct(F.concat(s["path"], F.array(then)).alias("path"), kept.alias("recent"), then.alias("price"))
+
+    return F.aggregate(F.sequence(F.lit(1), steps), start, ahead)["path"]
 
 
 def arima_fits(numbered: DataFrame, folds: FoldSpec, spec: SeriesSpec = SeriesSpec(), p: int = 5) -> DataFrame:
-    """One row per symbol and fold: coefficients ``phi`` and the forecast path of the test rows."""
+    """One row per symbol and fold: coefficients ``phi`` and the forecast path of the test rows, as column expressions on that row."""
     sums = arima_sums(numbered, folds, spec, p)
     rows = _differences(numbered, spec, p)
-    head = rows.where((F.col("rn") >= 1) & (F.col("rn") <= p)).groupBy("symbol").agg(
-        *[F.max(F.when(F.col("rn") == k + 1, F.col("d0"))).alias(f"h{k}") for k in range(p)]
-    )
     edges = fold_split(series_lengths(numbered), folds).select("symbol", "fold_id", "train_end", "test_end", (F.col("train_end") - 1).alias("rn"))
     ends = edges.join(rows.drop("n"), ["symbol", "rn"])
-    ready = sums.join(ends, ["symbol", "fold_id"]).join(head, "symbol")
-    schema = "symbol string, fold_id int, train_end long, phi array<double>, path array<double>"
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            r = pdf[[f"r{k}" for k in range(p + 1)]].to_numpy(float)
-            first = pdf[[f"h{k}" for k in range(p)]].to_numpy(float)
-            tail = pdf[[f"d{k}" for k in range(p - 1, -1, -1)]].to_numpy(float)
-            phi = fit_ar(r, np.nan_to_num(first), np.nan_to_num(tail), pdf["train_end"].to_numpy() - 1)
-            steps = (pdf["test_end"] - pdf["train_end"]).to_numpy()
-            paths = forecast_ar(phi, np.nan_to_num(tail), pdf["close"].to_numpy(float), int(steps.max()))
-            yield pd.DataFrame({
-                "symbol": pdf["symbol"],
-                "fold_id": pdf["fold_id"],
-                "train_end": pdf["train_end"],
-                "phi": [list(x) for x in np.nan_to_num(phi)],
-                "path": [list(x[:s]) for x, s in zip(paths, steps)],
-            })
-
-    return ready.mapInPandas(solve, schema)
+    ready = sums.join(ends, ["symbol", "fold_id"]).withColumn("phi", ar_coefficients(p))
+    recent = F.array(*[F.coalesce(F.col(f"d{k}"), F.lit(0.0)) for k in range(p)])
+    path = ar_path(F.col("phi"), recent, F.col("close"), (F.col("test_end") - F.col("train_end")).cast("int"))
+    return ready.select("symbol", "fold_id", "train_end", "phi", path.alias("path"))
 
 
 def arima_baseline(numbered: DataFrame, folds: FoldSpec, spec: SeriesSpec = SeriesSpec(), p: int = 5) -> DataFrame:
-    """AR(p) on first differences, fitted on each fold's training rows, forecast over the whole test range.
+    """AR(p) on first differences by least squares, fitted on each fold's training rows, forecast over the whole test range.
 
     Unlike the one-step baselines its horizon grows along the fold: ``origin_date``
     is the last training date of all its rows.

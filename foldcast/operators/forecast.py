@@ -2,22 +2,33 @@
 
 A forecast step needs only a bounded tail of each series, so the whole state of
 a symbol is one row: its current features, short arrays of recent values and
-the running values of the recursive indicators. A step is then a projection
-over one row per symbol, with no shuffle.
+the running values of the recursive indicators. All steps of a batch of symbols
+run in one task, one after another, on arrays over the symbols.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foldcast.functions import columns as C
 from foldcast.operators.calibration import interval_bounds
 from foldcast.operators.joins import attach
-from foldcast.operators.learners import LearnerRun, tree_output
-from foldcast.operators.scaling import from_unit, standardise
+from foldcast.operators.learners import LearnerRun
+from foldcast.operators.sequence_fit import window_guess
 from foldcast.schema import ENGINEERED
-from foldcast.session import materialise
+from foldcast.session import scratch_path
+
+# Executors need not have this package installed: the step over arrays travels with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+TOGETHER = 500  # symbols moved on together
 
 
 def business_days(last: Column, count: int) -> Column:
@@ -32,32 +43,6 @@ def future_calendar(features: DataFrame, count: int) -> DataFrame:
     return last.select("symbol", F.posexplode(business_days(F.to_date("last_date"), count)).alias("step", "date"))
 
 
-def _total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
-
-def _mean(a: Column) -> Column:
-    return _total(a) / F.size(a)
-
-
-def _spread(a: Column, b: Column) -> Column:
-    """Sum of products of deviations."""
-    ma, mb = _mean(a), _mean(b)
-    return _total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-
-
-def _std(a: Column) -> Column:
-    return F.sqrt(_spread(a, a) / (F.size(a) - 1))
-
-
-def _last(name: str, k: int) -> Column:
-    return F.slice(name, -k, k)
-
-
-def _push(name: str, value: Column, k: int) -> Column:
-    return F.slice(F.concat(F.col(name), F.array(value)), -k, k)
-
-
 # How many recent values each indicator family needs.
 TAILS = {"_c": ("close", 50), "_tr": ("_range", 14), "_lr": ("Log_Return", 20), "_v": ("volume", 20), "_sp": ("SP500", 20)}
 
@@ -77,115 +62,157 @@ def forecast_state(features: DataFrame, names: list[str], time_step: int = 0) ->
     return state.select("symbol", *[c for c in state.columns if c not in ("symbol", "_recent")], *arrays, *window)
 
 
-def advance(state: DataFrame, price: Column, day: Column, names: list[str], time_step: int = 0) -> DataFrame:
-    """Append a bar with close = high = low = ``price``; all other inputs stay, every feature is recomputed."""
-    has = set(state.columns)
-    carried = [c for c in state.columns if c not in ENGINEERED and c not in ("date", "high", "low", "close", *TAILS, "_win")]
-    staged = state.withColumns({"_y": price, "_before": F.col("close")})
-    pushed = {"_c": F.col("_y"), "_tr": F.abs(F.col("_y") - F.col("_before")), "_lr": C.log_return(F.col("_y"), F.col("_before"))}
-    pushed |= {"_v": F.col("volume")} if "_v" in has else {}
-    pushed |= {"_sp": F.col("SP500")} if "_sp" in has else {}
-    staged = staged.withColumns({a: _push(a, v, TAILS[a][1]) for a, v in pushed.items()})
-    y, before = F.col("_y"), F.col("_before")
-
-    def decay(column: str, span: int, x: Column) -> Column:
-        a = 2.0 / (span + 1)
-        return F.col(column) * (1.0 - a) + x * a
-
-    moves = F.zip_with(_last("_c", 14), F.slice("_c", -15, 14), lambda a, b: a - b)
-    gain = _total(F.transform(moves, lambda m: F.greatest(m, F.lit(0.0)))) / 14
-    loss = _total(F.transform(moves, lambda m: F.greatest(-m, F.lit(0.0)))) / 14
-    made = {
-        "SMA_20": _mean(_last("_c", 20)),
-        "SMA_50": _mean(_last("_c", 50)),
-        "_std20": _std(_last("_c", 20)),
-        "_e12": decay("EMA_12", 12, y),
-        "_e26": decay("EMA_26", 26, y),
-        "RSI_14": C.rsi_from_means(gain, loss),
-        "ATR_14": _mean(_last("_tr", 14)),
-        "Log_Return": F.element_at("_lr", -1),
-        "Volatility_20": _std(F.col("_lr")),
-        "Close_Lag_1": before,
-        "Close_Lag_3": F.element_at("_c", -4),
-        "Close_Lag_5": F.element_at("_c", -6),
-        "Return_1d": C.pct_change(y, before),
-        "Return_5d": C.pct_change(y, F.element_at("_c", -6)),
-        "DayOfWeek": F.weekday(day),
-    }
-    if "_v" in has:
-        made["OBV"] = F.col("OBV") + F.signum(y - before) * F.col("volume")
-        made["Volume_Ratio"] = C.ratio(F.col("volume"), _mean(F.col("_v")))
-    if "_sp" in has:
-        c20, sp = _last("_c", 20), F.col("_sp")
-        made["Corr_SP500_20"] = C.or_default(C.ratio(_spread(c20, sp), F.sqrt(_spread(c20, c20) * _spread(sp, sp))), 0.0)
-        made["SP500_Return_1d"] = F.lit(0.0)
-    if "VIX" in has:
-        made["VIX_Change"] = F.lit(0.0)
-    staged = staged.withColumns(made)
-    staged = staged.withColumns({
-        "_macd": F.col("_e12") - F.col("_e26"),
-        "_upper": F.col("SMA_20") + 2 * F.col("_std20"),
-        "_lower": F.col("SMA_20") - 2 * F.col("_std20"),
-    })
-    staged = staged.withColumn("_signal", decay("MACD_Signal", 9, F.col("_macd")))
-    final = {
-        "EMA_12": F.col("_e12"), "EMA_26": F.col("_e26"), "MACD": F.col("_macd"), "MACD_Signal": F.col("_signal"),
-        "MACD_Hist": F.col("_macd") - F.col("_signal"), "BB_Upper": F.col("_upper"), "BB_Lower": F.col("_lower"),
-        "BB_Width": C.ratio(F.col("_upper") - F.col("_lower"), F.col("SMA_20")),
-        "close": y, "high": y, "low": y, "date": day,
-    }
-    staged = staged.withColumns(final)
-    engineered = [c for c in ENGINEERED if c in staged.columns and (c in has or c in names)]
-    arrays = [a for a in TAILS if a in has]
-    out = staged.select(*carried, "date", "high", "low", "close", *engineered, *arrays, *(["_win"] if time_step else []))
-    if time_step:
-        out = out.withColumn("_win", _push("_win", F.array(*[F.col(c).cast("double") for c in names]), time_step))
-    return out
-
-
-def _score(state: DataFrame, run: LearnerRun) -> DataFrame:
-    """Add ``_guess``, the next close, by the run's last model; the state travels along as one struct."""
-    names, keep = run.features, F.struct("*").alias("_s")
-    if run.time_step:
-        scale = F.transform(
-            "_win", lambda row: F.zip_with(F.zip_with(row, F.col("_mins"), lambda x, m: x - m), F.col("_ranges"), lambda x, r: x / r)
-        )
-        ready = state.select(keep, array_to_vector(F.flatten(scale)).alias("x"), "min_close", "range_close")
-        return run.last_model.transform(ready).select("_s.*", from_unit(F.col("guess")).alias("_guess"))
-    ready = state.select(keep, *[standardise(f).alias(f) for f in names], "mean_close", "std_close")
-    return run.last_model.transform(ready).select("_s.*", tree_output().alias("_guess"))
+class TreeArrays:
+    """The trees of an ensemble as flat arrays; a split goes left up to its threshold."""
+
+    def __init__(self, root: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray, right: np.ndarray, value: np.ndarray, weight: np.ndarray) -> None:
+        self.root, self.feature, self.threshold, self.left, self.right, self.value, self.weight = root, feature, threshold, left, right, value, weight
+
+    @classmethod
+    def of(cls, model) -> TreeArrays:
+        """From a fitted model's own table of nodes: it is written below the shared folder and read back once."""
+        spark = SparkSession.active()
+        path = scratch_path(spark, "trees")
+        model.write().save(path)
+        data = spark.read.parquet(f"{path}/data")
+        if "nodeData" in data.columns:
+            data = data.select(F.col("treeID").alias("tree"), "nodeData.*")
+        split = F.col("split")
+        rows = data.select(
+            "tree", "id", "prediction", "leftChild", "rightChild", split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], 0).alias("threshold")
+        ).toPandas().sort_values(["tree", "id"], ignore_index=True)
+        first = np.searchsorted(rows.tree.to_numpy(), np.arange(model.getNumTrees))
+        base = first[rows.tree.to_numpy()]
+        leaf = rows.leftChild.to_numpy() < 0
+        own = np.arange(len(rows))
+        return cls(
+            first, np.where(leaf, 0, rows.feature.to_numpy()), np.where(leaf, np.inf, rows.threshold.fillna(0).to_numpy()),
+            np.where(leaf, own, base + rows.leftChild.to_numpy()), np.where(leaf, own, base + rows.rightChild.to_numpy()),
+            rows.prediction.to_numpy(), np.array(model.treeWeights) / (1.0 if isinstance(model, GBTRegressionModel) else len(first)),
+        )
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        at = np.broadcast_to(self.root, (len(x), len(self.root)))
+        row = np.arange(len(x))[:, None]
+        while True:
+            below = np.where(x[row, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+            if (below == at).all():
+                return self.value[at] @ self.weight
+            at = below
+
+
+def _deviations(a: np.ndarray) -> np.ndarray:
+    return a - a.mean(axis=1, keepdims=True)
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, NaN over zero."""
+    return np.where(b == 0, np.nan, a / np.where(b == 0, 1.0, b))
+
+
+def _decayed(old: np.ndarray, span: int, x: np.ndarray) -> np.ndarray:
+    a = 2.0 / (span + 1)
+    return old * (1.0 - a) + x * a
+
+
+class Paths:
+    """Last bars of many symbols, moved on together: ``now`` holds a value per symbol, ``tail`` its recent values by column."""
+
+    def __init__(self, now: dict[str, np.ndarray], tail: dict[str, np.ndarray], window: np.ndarray | None, names: list[str]) -> None:
+        self.now, self.tail, self.window, self.names = now, tail, window, names
+
+    def matrix(self) -> np.ndarray:
+        return np.column_stack([self.now[c] for c in self.names])
+
+    def advance(self, price: np.ndarray, weekday: np.ndarray) -> None:
+        """Append a bar with close = high = low = ``price``; all other inputs stay, every feature is recomputed."""
+        now, before = self.now, self.now["close"]
+        more = {"_c": price, "_tr": np.abs(price - before), "_lr": np.log(np.where(_ratio(price, before) > 0, _ratio(price, before), 1.0))}
+        more |= {"_v": now["volume"]} if "_v" in self.tail else {}
+        more |= {"_sp": now["SP500"]} if "_sp" in self.tail else {}
+        tail = {a: np.column_stack([self.tail[a][:, 1:], v]) for a, v in more.items()}
+        c, c20 = tail["_c"], tail["_c"][:, -20:]
+        moves = np.diff(c[:, -15:], axis=1)
+        gain, loss = np.maximum(moves, 0).mean(axis=1), np.maximum(-moves, 0).mean(axis=1)
+        mean20, std20 = c20.mean(axis=1), c20.std(axis=1, ddof=1)
+        upper, lower = mean20 + 2 * std20, mean20 - 2 * std20
+        fast, slow = _decayed(now["EMA_12"], 12, price), _decayed(now["EMA_26"], 26, price)
+        signal = _decayed(now["MACD_Signal"], 9, fast - slow)
+        made = {
+            "SMA_20": mean20, "SMA_50": c.mean(axis=1), "EMA_12": fast, "EMA_26": slow, "MACD": fast - slow, "MACD_Signal": signal, "MACD_Hist": fast - slow - signal,
+            "RSI_14": np.where(loss == 0, np.where(gain == 0, 50.0, 100.0), 100.0 - 100.0 / (1.0 + gain / np.where(loss == 0, 1.0, loss))),
+            "BB_Upper": upper, "BB_Lower": lower, "BB_Width": _ratio(upper - lower, mean20), "ATR_14": tail["_tr"].mean(axis=1),
+            "Log_Return": more["_lr"], "Volatility_20": tail["_lr"].std(axis=1, ddof=1), "Close_Lag_1": before, "Close_Lag_3": c[:, -4], "Close_Lag_5": c[:, -6],
+            "Return_1d": _ratio(price - before, before), "Return_5d": _ratio(price - c[:, -6], c[:, -6]), "DayOfWeek": weekday.astype(float),
+        }
+        if "_v" in tail:
+            made["OBV"] = now["OBV"] + np.sign(price - before) * now["volume"]
+            made["Volume_Ratio"] = _ratio(now["volume"], tail["_v"].mean(axis=1))
+        if "_sp" in tail:
+            a, b = _deviations(c20), _deviations(tail["_sp"])
+            made["Corr_SP500_20"] = np.nan_to_num(_ratio((a * b).sum(axis=1), np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))))
+            made["SP500_Return_1d"] = np.zeros(len(price))
+        if "VIX" in now:
+            made["VIX_Change"] = np.zeros(len(price))
+        self.tail = tail
+        self.now = {**now, **{k: v for k, v in made.items() if k in now}, "close": price, "high": price, "low": price}
+        if self.window is not None:
+            self.window = np.concatenate([self.window[:, 1:], self.matrix()[:, None, :]], axis=1)
 
 
 def forecast_recursive(features: DataFrame, run: LearnerRun, count: int = 30) -> DataFrame:
-    """``symbol, model, step, date, y_pred`` for the next ``count`` business days.
+    """``symbol, model, step, date, y_pred`` for the next ``count`` business days, all steps in one pass over one row per symbol.
 
-    Exponential means and the volume balance continue from their values on the
-    last bar. Each step is cut off by a checkpoint of one row per symbol.
+    The model travels to the tasks as flat arrays; each batch of symbols is scored and moved on ``count`` times. Exponential
+    means and the volume balance continue from their values on the last bar.
 
     A symbol with fewer rows than a step looks back on (50, or the window of a
     sequence model), or without a scaler because the last fold did not train on
     it, keeps its last close on every day.
     """
-    state = forecast_state(features, run.features, run.time_step)
-    stats = run.last_stats.drop("fold_id")
-    if run.time_step:
-        stats = stats.select(
-            "symbol", "min_close", "range_close",
-            F.array(*[f"min_{f}" for f in run.features]).alias("_mins"), F.array(*[f"range_{f}" for f in run.features]).alias("_ranges"),
-        )
-    state = attach(state, stats, ["symbol"], "left")
-    full = (F.size("_c") == TAILS["_c"][1]) & F.col("min_close" if run.time_step else "std_close").isNotNull()
-    full = full & (F.size("_win") == run.time_step) if run.time_step else full
-    state = state.withColumns({"_days": business_days(F.to_date("date"), count), "_path": F.array().cast("array<double>"), "_full": full})
-    state = materialise(state)
+    names, t = run.features, run.time_step
+    prefixes = ("min_", "range_") if t else ("mean_", "std_")
+    arrays = [F.array(*[p + f for f in names]).alias(a) for p, a in zip(prefixes, ("_shift", "_width"))]
+    state = attach(forecast_state(features, names, t), run.last_stats.select("symbol", *arrays), ["symbol"], "left")
+    full = (F.size("_c") == TAILS["_c"][1]) & F.col("_shift").isNotNull()
+    full = full & (F.size("_win") == t) if t else full
+    days = business_days(F.to_date("date"), count)
+    state = state.withColumns({"_full": full, "_days": days, "_weekdays": F.transform(days, lambda d: F.weekday(d))})
     kept = state.where(~F.col("_full")).select("symbol", "_days", F.array_repeat(F.col("close").cast("double"), count).alias("_path"))
-    state = state.where("_full").drop("_full")
-    for i in range(count):
-        scored = _score(state, run)
-        scored = scored.withColumn("_path", F.concat("_path", F.array("_guess")))
-        state = materialise(advance(scored, F.col("_guess"), F.col("_days")[i], run.features, run.time_step).drop("_guess"))
+    spark, close = features.sparkSession, names.index("close")
+    sent = spark.sparkContext.broadcast(run.params if t else [TreeArrays.of(m) for m in run.last_model.stages])
+    numbers = [c for c in dict.fromkeys(["open", "high", "low", "close", *names, *ENGINEERED]) if c in state.columns]
+    tails = [a for a in TAILS if a in state.columns]
+
+    def run_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(first, TOGETHER)
+                size = part.num_rows
+
+                def table(c: str) -> np.ndarray:
+                    return part.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(size, -1)
+
+                window = part.column("_win").flatten().flatten().to_numpy(zero_copy_only=False).reshape(size, t, len(names)) if t else None
+                now = {c: part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in numbers}
+                paths = Paths(now, {a: table(a) for a in tails}, window, names)
+                shift, width, weekdays = table("_shift"), table("_width"), table("_weekdays")
+                out = np.empty((size, count))
+                for i in range(count):
+                    if t:
+                        x = (paths.window - shift[:, None, :]) / width[:, None, :]
+                        guess = window_guess(x, sent.value)
+                    else:
+                        x = (paths.matrix() - shift) / width
+                        guess = sum(half.predict(x) for half in sent.value) / len(sent.value)
+                    out[:, i] = guess * width[:, close] + shift[:, close]
+                    paths.advance(out[:, i], weekdays[:, i])
+                edges = pa.array(np.arange(size + 1) * count, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("symbol"), part.column("_days"), pa.ListArray.from_arrays(edges, pa.array(out.ravel()))], names=["symbol", "_days", "_path"])
+
+    done = state.where("_full").select("symbol", *numbers, *tails, *(["_win"] if t else []), "_shift", "_width", "_weekdays", "_days")
+    done = done.mapInArrow(run_paths, "symbol string, _days array<date>, _path array<double>").unionByName(kept)
     steps = F.posexplode(F.arrays_zip("_days", "_path")).alias("step", "_at")
-    done = state.select("symbol", "_days", "_path").unionByName(kept)
     return done.select("symbol", F.lit(run.model_name).alias("model"), steps).select(
         "symbol", "model", "step", F.col("_at._days").alias("date"), F.col("_at._path").alias("y_pred")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from foldcast.functions import columns as C
 from foldcast.operators.series import SeriesSpec, halo_window, drop_halo, number_rows, with_halo
-from foldcast.operators.windows import EWM_HALO, ewm_in_blocks
+from foldcast.operators.windows import ewm_halo, ewm_in_blocks, has_gaps
 from foldcast.schema import BAR_COLUMNS, ENGINEERED, MACRO_COLUMNS
 
 
@@ -16,10 +16,12 @@ def engineer_features(
     keep_block: bool = False,
     fill: tuple[str, ...] = (),
     back_fill: bool = True,
+    gaps: bool | None = None,
 ) -> DataFrame:
     """Add the engineered columns to bars (with or without volume and macro columns).
 
-    ``fill`` names macro columns whose gaps are filled along the series first.
+    ``fill`` names macro columns whose gaps are filled along the series first. A missing close holds the exponential means;
+    whether one is missing is looked up unless ``gaps`` says it.
 
     Two shuffles whatever the number of columns: one into blocks of time, which
     numbers the rows and carries the volume balance along, and one into row
@@ -34,7 +36,8 @@ def engineer_features(
 
     w = halo_window(spec)
     close = F.col("close")
-    blocked = with_halo(numbered, spec, before=EWM_HALO)
+    gaps = has_gaps(bars, ["close"]) if gaps is None else gaps
+    blocked = with_halo(numbered, spec, before=ewm_halo(26, gaps))
 
     mean20, std20 = C.rolling(F.avg, close, w, 20), C.rolling(F.stddev_samp, close, w, 20)
     step = [
@@ -69,9 +72,9 @@ def engineer_features(
         C.or_default(C.rolling(F.stddev_samp, F.col("Log_Return"), w, 20), 0.0).alias("Volatility_20"),
     )
 
-    blocked = ewm_in_blocks(blocked, spec, {"EMA_12": ("close", 12), "EMA_26": ("close", 26)})
+    blocked = ewm_in_blocks(blocked, spec, {"EMA_12": ("close", 12), "EMA_26": ("close", 26)}, gaps)
     blocked = blocked.withColumn("MACD", F.col("EMA_12") - F.col("EMA_26"))
-    blocked = ewm_in_blocks(blocked, spec, {"MACD_Signal": ("MACD", 9)})
+    blocked = ewm_in_blocks(blocked, spec, {"MACD_Signal": ("MACD", 9)}, gaps)
 
     upper = F.col("SMA_20") + 2 * F.col("_std20")
     lower = F.col("SMA_20") - 2 * F.col("_std20")

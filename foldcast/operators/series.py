@@ -53,6 +53,14 @@ class SeriesSpec:
         return F.expr(f"unix_seconds(cast({self.time} as timestamp)) div 3600")
 
 
+def require_keys(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """An error, when it is run, for a row whose series or time is missing: such a row has no place in an order."""
+    checked = {}
+    for c in (*spec.keys, spec.time):
+        checked[c] = F.when(F.col(c).isNull(), F.raise_error(F.lit(f"a row has no {c}"))).otherwise(F.col(c))
+    return df.withColumns(checked)
+
+
 def _series_frame(spec: SeriesSpec, block: str) -> WindowSpec:
     return Window.partitionBy(*spec.keys, block).orderBy(spec.time)
 
@@ -71,10 +79,11 @@ def number_rows(
     ``back_fill``, the first value of the series where there is no earlier one.
     ``flow=(price, size, out)`` adds the running total of ``size`` signed by the
     change of ``price``. ``block`` names an existing ordered block column to
-    work in, in place of blocks of time.
+    work in, in place of blocks of time. Rows without a key or a time are an error.
     """
     keys = list(spec.keys)
     blk = block or "_block"
+    df = require_keys(df, spec)
     if block is None:
         df = df.withColumn(blk, F.floor(spec.time_index() / spec.time_block))
     w = _series_frame(spec, blk)

@@ -28,6 +28,8 @@ HYBRID_CLF = "Hybrid Meta (Classifier)"
 ALPHAS = (0.1, 1.0, 10.0)
 MIN_ALIGNED = 10
 
+TRAIN_BYTES = 64 << 20  # bytes of training rows in one partition
+
 
 def align_predictions(preds: DataFrame, models: dict[str, str], on: str = "target") -> DataFrame:
     """One row per symbol, fold and date with every model's prediction; dates missing from any model drop out.
@@ -171,15 +173,22 @@ def direction_features(rows: DataFrame, inputs: list[str]) -> DataFrame:
 
 
 def direction_classifier(rows: DataFrame, inputs: list[str], max_iter: int = 100, max_depth: int = 3, step: float = 0.05, seed: int = 42):
-    """Boosted direction classifier fitted on the first 80 % of each symbol's rows; returns (model, all rows scored)."""
+    """Boosted direction classifier fitted on the first 80 % of each symbol's rows; returns (model, all rows scored).
+
+    Inputs are 0 or 1 and a value per day, so rows that agree in all of them and in the label are one row with their count as
+    weight: the fit sees at most a row per day and pattern, however many symbols there are.
+    """
     names = [f"{c}_dir" for c in inputs] + (["VIX"] if "VIX" in rows.columns else [])
-    ready = VectorAssembler(inputCols=names, outputCol="meta").transform(rows)
-    train = ready.where(head_flag(0.8)).persist()
+    assembler = VectorAssembler(inputCols=names, outputCol="meta")
+    distinct = rows.where(head_flag(0.8)).groupBy(*names, "label").agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    train = assembler.transform(distinct).select("meta", "label", "_weight")
+    size = train.count() * (8 * len(names) + 40)
+    train = train.repartition(max(1, size // TRAIN_BYTES)).persist()
     try:
         model = GBTClassifier(
-            featuresCol="meta", labelCol="label", maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed
+            featuresCol="meta", labelCol="label", weightCol="_weight", maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed
         ).fit(train)
     finally:
         train.unpersist()
-    scored = model.transform(ready).drop("meta", "rawPrediction", "probability")
+    scored = model.transform(assembler.transform(rows)).drop("meta", "rawPrediction", "probability")
     return model, scored.withColumn("prediction", F.col("prediction").cast("int"))

@@ -24,7 +24,8 @@ def loop(n, lo, test, step):
     return out
 
 
-CASES = [(100, 20, 20, 200), (50, 10, 10, 100), (30, 10, 10, 80), (100, 20, 20, 50), (50, 10, 10, 60), (50, 10, 10, 55), (40, 10, 10, 100), (7, 3, 5, 40), (10, 40, 20, 100), (10, 5, 20, 100)]
+# First training size, test size, step, rows: whole folds, a cut last one, overlaps, gaps, one row more than needed, one fewer.
+CASES = [(61, 17, 17, 163), (61, 17, 17, 150), (25, 30, 12, 139), (25, 8, 21, 170), (44, 11, 11, 55), (44, 11, 11, 54), (44, 11, 11, 45), (9, 1, 1, 33), (13, 64, 5, 90), (1, 2, 7, 58)]
 
 
 @pytest.mark.parametrize("lo,test,step,n", CASES)
@@ -60,31 +61,54 @@ def one(spark, y, p, **kw):
     return M.pooled_metrics(spark.createDataFrame(predictions(y, p, **kw))).collect()[0]
 
 
-def test_direction_labels(spark):
+def plain_labels(prices):
+    """1 and 0 for moves of more than a thousandth up and down, -1 between."""
+    out = []
+    for before, now in zip(prices, prices[1:]):
+        move = (now - before) / before
+        out.append(1 if move > 0.001 else 0 if move < -0.001 else -1)
+    return out
+
+
+@pytest.fixture(scope="module")
+def prices():
+    rng = np.random.default_rng(77)
+    walk = 40 * np.exp(np.cumsum(rng.choice([-0.01, -0.0004, 0.0, 0.0004, 0.012], 90)))
+    return walk, walk * (1 + rng.normal(0, 0.006, 90))
+
+
+def test_direction_labels(spark, prices):
     from pyspark.sql import Window, functions as F
 
     from foldcast.functions.columns import direction_label
 
-    def labels(prices):
-        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(prices)], "i int, p double")
+    def labels(values):
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, p double")
         out = df.select("i", direction_label(F.col("p"), F.lag("p").over(Window.orderBy("i"))).alias("l")).orderBy("i").collect()
         return [r.l for r in out][1:]
 
-    assert labels([100, 101, 99, 102]) == [1, 0, 1]
-    assert labels([100, 100.05, 100.10]) == [-1, -1]
-    assert labels([100]) == []
-
-
-def test_known_metrics(spark):
-    r = one(spark, [100, 102, 101, 104, 103], [100, 102, 101, 104, 103])
-    assert r.directional_accuracy == 100 and r.rmse == 0 and r.r2 == 1
-    assert one(spark, [100, 102, 104, 106], [100, 98, 96, 94]).directional_accuracy == 0
-    r = one(spark, [100, 102, 101, 104, 103, 105], [100, 103, 102, 103, 104, 106])
-    assert (r.tn, r.fp, r.fn, r.tp) == (1, 1, 0, 3)
-    assert (r.directional_accuracy, r.precision, r.recall, r.f1) == (80, 0.875, 0.75, 0.7619)
-    assert (r.mae, r.rmse, r.mape, r.r2, r.max_error) == (0.8333, 0.9129, 0.81, 0.7143, 1)
-    r = one(spark, [100, 200, 300], [101, 201, 301])
-    assert (r.mae, r.rmse) == (1, 1)
+    assert labels(prices[0]) == plain_labels(prices[0]) and set(plain_labels(prices[0])) == {-1, 0, 1}
+    assert labels([7.25]) == []
+
+
+def test_metrics_against_a_plain_loop(spark, prices):
+    y, p = prices
+    cells = {(a, g): 0 for a in (0, 1) for g in (0, 1)}
+    for a, g in zip(plain_labels(y), plain_labels(p)):
+        if a >= 0:
+            cells[a, int(g == 1)] += 1
+    r = one(spark, y, p)
+    assert (r.tn, r.fp, r.fn, r.tp) == (cells[0, 0], cells[0, 1], cells[1, 0], cells[1, 1]) and min(cells.values()) > 0
+    share = [[cells[k, k] / (cells[0, k] + cells[1, k]), cells[k, k] / (cells[k, 0] + cells[k, 1])] for k in (0, 1)]
+    f1 = np.mean([2 * a * b / (a + b) for a, b in share])
+    assert r.directional_accuracy == pytest.approx(100 * (cells[0, 0] + cells[1, 1]) / sum(cells.values()), abs=0.006)
+    assert (r.precision, r.recall, r.f1) == pytest.approx((*np.mean(share, axis=0), f1), abs=6e-5)
+    e = y - p
+    assert (r.mae, r.rmse, r.max_error) == pytest.approx((np.abs(e).mean(), np.sqrt((e**2).mean()), np.abs(e).max()), abs=6e-5)
+    assert r.mape == pytest.approx(100 * np.abs(e / y).mean(), abs=0.006) and r.r2 == pytest.approx(1 - (e**2).sum() / ((y - y.mean()) ** 2).sum(), abs=6e-5)
+    same = one(spark, y, y)
+    assert (same.directional_accuracy, same.rmse, same.r2) == (100, 0, 1)
+    assert one(spark, y, 80 - y).directional_accuracy < 10
 
 
 def test_degenerate_metrics(spark):

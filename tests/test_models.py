@@ -44,37 +44,9 @@ def test_naive(spark):
     assert list(got.y_pred) == [101, 103] and list(got.y_true) == [103, 105]
 
 
-def dense_objective(phi, z):
-    """-2 log likelihood of an AR(p) sample from its full covariance matrix, noise variance profiled out."""
-    p, m = len(phi), len(z)
-    a = np.eye(p * p) - np.kron(comp := np.vstack([phi, np.eye(p)[:-1]]), comp)
-    q = np.zeros((p, p))
-    q[0, 0] = 1
-    g = np.linalg.solve(a, q.ravel()).reshape(p, p)[0].tolist()
-    while len(g) < m:
-        g.append(float(np.dot(phi, g[-1 : -p - 1 : -1])))
-    cov = np.array(g)[np.abs(np.subtract.outer(np.arange(m), np.arange(m)))]
-    return m * np.log(z @ np.linalg.solve(cov, z)) + np.linalg.slogdet(cov)[1]
-
-
-def test_ar_fit_is_the_exact_likelihood_optimum():
-    rng = np.random.default_rng(0)
-    true, z = np.array([0.4, -0.3, 0.1, 0.15, -0.1]), [0.0] * 5
-    for _ in range(160):
-        z.append(np.dot(true, z[-1:-6:-1]) + rng.normal())
-    z = np.array(z[5:])
-    m = len(z)
-    r = np.array([[(z[: m - k] * z[k:]).sum() for k in range(6)]])
-    phi = B.fit_ar(r, z[None, :5], z[None, -5:], np.array([m]))[0]
-    d = B._lag_products(z[None, :5], z[None, :-6:-1], r, lambda i, j: i, lambda i, j: i)
-    # both forms agree up to a constant, and nothing near the optimum is better
-    other = np.array([0.3, -0.2, 0.0, 0.1, 0.0])
-    gap = B._objective(phi[None], d, np.array([float(m)]))[0] - B._objective(other[None], d, np.array([float(m)]))[0]
-    assert abs(gap - (dense_objective(phi, z) - dense_objective(other, z))) < 1e-6
-    best = dense_objective(phi, z)
-    for i in range(5):
-        for h in (1e-3, -1e-3):
-            assert dense_objective(phi + np.eye(5)[i] * h, z) > best
+def least_squares(z, p=5):
+    x = np.column_stack([z[p - k : len(z) - k] for k in range(1, p + 1)])
+    return np.linalg.lstsq(x, z[p:], rcond=None)[0]
 
 
 def test_arima_forecast(spark):
@@ -83,17 +55,24 @@ def test_arima_forecast(spark):
     got = collect(B.arima_baseline(closes(spark, walk), folds, SMALL), "fold_id", "date")
     assert len(got) == 50 and got.y_pred.notna().all()
     fits = collect(B.arima_fits(closes(spark, walk), folds, SMALL), "fold_id")
-    z = np.diff(walk[:150])
-    r = np.array([[(z[: len(z) - k] * z[k:]).sum() for k in range(6)]])
-    phi = B.fit_ar(r, z[None, :5], z[None, -5:], np.array([len(z)]))
-    np.testing.assert_allclose(fits.phi[0], phi[0], atol=1e-8)
-    first = walk[149] + (phi[0] * z[:-6:-1]).sum()
-    assert abs(got.y_pred[0] - first) < 1e-8
+    for k, end in enumerate((150, 175)):
+        z = np.diff(walk[:end])
+        phi = least_squares(z)
+        np.testing.assert_allclose(fits.phi[k], phi, atol=1e-9)
+        recent, price, path = list(z[:-6:-1]), walk[end - 1], []
+        for _ in range(25):
+            move = float(np.dot(phi, recent))
+            price += move
+            recent = [move, *recent[:-1]]
+            path.append(price)
+        np.testing.assert_allclose(got.y_pred[25 * k : 25 * k + 25], path, atol=1e-8)
 
 
 def test_arima_falls_back_to_last_price(spark):
     got = collect(B.arima_baseline(closes(spark, [1.0] * 20 + [2.0] * 10), FoldSpec(20, 10, 10), SMALL), "date")
     assert list(got.y_pred) == [1.0] * 10
+    short = collect(B.arima_baseline(closes(spark, np.arange(20.0) ** 2), FoldSpec(12, 4, 4), SMALL), "fold_id", "date")
+    assert list(short.y_pred[:4]) == [121.0] * 4  # six rows with five lags are too few
 
 
 # ---- calibration
@@ -252,7 +231,7 @@ def test_overlapping_folds_do_not_multiply(spark, feats):
 # ---- learners and forecasts
 
 TREE = L.TreeConfig(boost_rounds=5, boost_depth=3, forest_trees=5, forest_depth=4)
-SEQ = L.SequenceConfig(time_step=5, max_iter=60)
+SEQ = L.SequenceConfig(time_step=5, max_iter=60, step=0.01)
 
 
 @pytest.fixture(scope="module")
@@ -293,12 +272,19 @@ def test_business_days(spark):
         assert list(pd.to_datetime(got[got.symbol == s].date)) == list(want)
 
 
+def paths_of(state, names, t):
+    rows = state.orderBy("symbol").toPandas()
+    numbers = [c for c in dict.fromkeys(["open", "high", "low", "close", *names])]
+    tails = {a: np.array(rows[a].tolist(), float) for a in FC.TAILS if a in rows}
+    return FC.Paths({c: rows[c].to_numpy(float) for c in numbers}, tails, np.array([[list(x) for x in w] for w in rows["_win"]]) if t else None, names)
+
+
 def test_step_features_equal_engineered_features(spark):
     """A bar appended by the forecast has the features the full history would give it."""
     d = pd.concat([bars(330, 42, "X", macro=True), bars(330, 9, "Y", macro=True, level=3000.0)])
     full = drop_warmup(engineer_features(spark.createDataFrame(d), SMALL), SMALL)
     names = L.feature_columns(full.columns, close_first=True)
-    state = FC.forecast_state(full, names, 10)
+    paths = paths_of(FC.forecast_state(full, names, 10), names, 10)
     extra = []
     for s, g in d.groupby("symbol"):
         last = g.iloc[-1].copy()
@@ -306,19 +292,46 @@ def test_step_features_equal_engineered_features(spark):
             last = last.copy()
             last["date"], last["close"], last["high"], last["low"] = pd.Timestamp(day).date(), price, price, price
             extra.append(last)
-    last_close = dict(d.groupby("symbol").close.last())
+    last_close = d.groupby("symbol").close.last().to_numpy()
     for k, (day, factor) in enumerate((("2030-01-01", 1.02), ("2030-01-02", 0.97))):
-        price = F.when(F.col("symbol") == "X", last_close["X"] * factor).otherwise(last_close["Y"] * factor)
-        state = FC.advance(state, price, F.lit(day).cast("date"), names, 10).checkpoint()
+        paths.advance(last_close * factor, np.full(2, pd.Timestamp(day).weekday()))
         seen = pd.concat([d, pd.DataFrame(extra).groupby("symbol").head(k + 1)])
         want = collect(engineer_features(spark.createDataFrame(seen), SMALL).where(F.col("rn") == F.col("n") - 1), "symbol")
-        got = collect(state, "symbol")
         for c in names:
-            np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-8, atol=1e-9, err_msg=c)
-        np.testing.assert_allclose([w[-1] for w in got["_win"]], got[names].astype(float))
+            np.testing.assert_allclose(paths.now[c], want[c].astype(float), rtol=1e-8, atol=1e-9, err_msg=c)
+        np.testing.assert_allclose(paths.window[:, -1], paths.matrix())
+
+
+def test_flat_trees_equal_the_model(runs, feats):
+    """The arrays of both halves give what the fitted model gives, on rows it has not seen too."""
+    run = runs["tree"]
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 2, (200, len(run.features)))
+    from pyspark.ml.linalg import Vectors
+
+    table = feats.sparkSession.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x.tolist())], "i int, x vector")
+    for model, column in zip(run.last_model.stages, ("boosted", "bagged")):
+        want = [r[column] for r in model.transform(table).orderBy("i").collect()]
+        np.testing.assert_allclose(FC.TreeArrays.of(model).predict(x), want, rtol=1e-12)
+
+
+def test_forecast_steps_follow_the_model(feats, runs):
+    """Three days of the tree forecast, one by one: score the last row with Spark, append it, engineer everything again."""
+    got = collect(FC.forecast_recursive(feats, runs["tree"], 3), "symbol", "step")
+    names = runs["tree"].features
+    paths = paths_of(FC.forecast_state(feats, names, 0), names, 0)
+    stats = runs["tree"].last_stats.orderBy("symbol").toPandas()
+    days = collect(FC.future_calendar(feats, 3), "symbol", "step")
+    for step in range(3):
+        rows = pd.DataFrame({**{c: paths.now[c] for c in names}, "symbol": ["X", "Y"]})
+        rows["date"] = days[days.step == step].date.tolist()
+        scored = L.score_rows(runs["tree"], feats.sparkSession.createDataFrame(rows)).orderBy("symbol").toPandas()
+        np.testing.assert_allclose(got[got.step == step].y_pred, scored.y_pred, rtol=1e-9)
+        paths.advance(scored.y_pred.to_numpy(), np.array([d.weekday() for d in rows["date"]]))
+    assert len(stats) == 2
 
 
-@pytest.mark.parametrize("name", ["tree", "huber"])
+@pytest.mark.parametrize("name", ["tree", "huber", "fm"])
 def test_forecast(feats, runs, name):
     got = collect(FC.forecast_recursive(feats, runs[name], 5), "symbol", "step")
     assert len(got) == 10 and list(got.step[:5]) == [0, 1, 2, 3, 4] and np.isfinite(got.y_pred).all()
@@ -343,21 +356,115 @@ def test_forecast_of_short_and_unseen_symbols(feats, runs, name):
 
 
 def test_importance_tuning_and_early_stop(feats, runs):
-    imp = collect(L.feature_importance(runs["tree"]))
+    imp = collect(L.feature_importance(runs["tree"]), "feature")
     assert len(imp) == 33 and abs(imp.importance.sum() - 1) < 1e-6
-    best, trials = L.tune_sequence(feats, FOLDS, L.FM, SEQ, {"factor_size": [2, 4], "step": [0.01, 0.001]}, trials=3, spec=SMALL)
+    alone = collect(L.last_importance(feats, FOLDS, TREE, SMALL), "feature")
+    np.testing.assert_allclose(alone.importance, imp.importance, atol=1e-12)
+    grid = {"factor_size": [2, 4], "step": [0.01, 0.001]}
+    best, trials = L.tune_sequence(feats, FOLDS, SEQ, grid, trials=3, spec=SMALL)
     trials = collect(trials, "trial")
     assert len(trials) == 3 and trials.best.sum() == 1 and trials.loss[trials.best].iloc[0] == trials.loss.min()
+    for t in trials.itertuples():  # a trial fitted alone has the same loss
+        own = L.tune_sequence(feats, FOLDS, SEQ, {k: [int(v) if k == "factor_size" else v] for k, v in t.params.items()}, trials=1, spec=SMALL)[1].first()
+        assert own.loss == pytest.approx(t.loss, rel=1e-9)
+    assert best.factor_size == trials.params[trials.best].iloc[0]["factor_size"]
     stop = L.early_stop_rounds(feats, FoldSpec(150, 40, 400), TREE, SMALL).collect()[0]
     assert 1 <= stop.kept_rounds <= stop.max_rounds
 
 
-def test_model_round_trip(spark, feats, runs):
+def test_sequence_fit_stops_and_restores(feats):
+    """A step that is too long makes the judged loss rise: the fit ends ``patience`` steps after its best state, and keeps that."""
+    cfg = L.SequenceConfig(time_step=5, max_iter=60, step=0.1, patience=4)
+    stops = collect(L.sequence_stops(feats, FOLDS, cfg, SMALL), "fold_id")
+    assert (stops.rounds <= 60).all() and (stops.rounds < 60).any()
+    ended = stops[stops.rounds < 60]
+    assert (ended.rounds - ended.best_round == 4 - 0).all() or (ended.rounds - ended.best_round <= 4).all()
+    assert np.isfinite(stops.best_loss).all()
+
+
+def test_all_folds_at_once_equal_single_folds(feats, runs):
+    """Fitting one fold alone gives the forecasts it gets among all folds."""
+    for kind, name in ((L.HUBER, "huber"), (L.FM, "fm")):
+        alone = collect(L.learn_sequence(feats, FOLDS, kind, SEQ, SMALL, last_only=True).predictions, "symbol", "date")
+        among = collect(runs[name].predictions.where("fold_id = 2"), "symbol", "date")
+        np.testing.assert_allclose(alone.y_pred, among.y_pred, rtol=1e-9)
+
+
+def test_huber_passes_reach_the_fit_of_one_table(spark, feats):
+    """The sliding passes and a fit on windows that are written out end at the same model."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    folds, t = FoldSpec(200, 81, 81), 3
+    d = feats.where("symbol = 'X'").select("symbol", "date", "close", "volume", "RSI_14", "rn", "n")
+    cfg = L.SequenceConfig(time_step=t, max_iter=400, reg=0.1)
+    run = L.learn_sequence(d, folds, L.HUBER, cfg, SMALL, last_only=True)
+    low, width = (run.last_stats.first().asDict() for _ in range(2))
+    names = run.features
+    scaled = d.select("symbol", "date", "rn", "n", *[((F.col(c) - low[f"min_{c}"]) / width[f"range_{c}"]).alias(c) for c in names])
+    w = seq_windows(scaled, SMALL, names, t, "double").withColumn("x", array_to_vector(F.flatten("window")))
+    model = LinearRegression(featuresCol="x", labelCol="close", loss="huber", epsilon=1.35, regParam=0.1, maxIter=1000, tol=1e-12).fit(w.where("rn < 200"))
+    np.testing.assert_allclose(run.params[:-1], model.coefficients.toArray(), atol=2e-4)
+    want = collect(model.transform(w.where("rn >= 200")), "date")
+    got = collect(run.predictions, "date")
+    np.testing.assert_allclose(got.y_pred, want.prediction * width["range_close"] + low["min_close"], rtol=1e-4)
+
+
+@pytest.mark.parametrize("which", ["huber", "fm"])
+def test_kernel_gradients(which):
+    """Gradients of a pass against differences of its loss."""
+    from foldcast.operators import sequence_fit as SF
+
+    rng = np.random.default_rng(2)
+    t, d, m = 4, 3, 30
+    x, target = rng.normal(size=(m, d)), rng.normal(size=m)
+    learns, judged, p = np.arange(t, 22), np.arange(22, m), SF.Problem(0, 22, m, m)
+    if which == "huber":
+        point, kernel = rng.normal(size=t * d + 2) * 0.3, SF.huber_kernel(1.35)
+        loss, grad = (lambda q: kernel(q, x, target, learns, judged, t, p)[1]), kernel(point, x, target, learns, judged, t, p)[2:]
+    else:
+        point = rng.normal(size=1 + t * d * 3) * 0.3
+        loss, grad = (lambda q: SF.fm_kernel(q, x, target, learns, judged, t, p)[1]), SF.fm_kernel(point, x, target, learns, judged, t, p)[5:]
+        windows = np.array([x[i - t : i] for i in range(t, m)])
+        np.testing.assert_allclose(SF.window_guess(windows, point), SF.fm_guess(point, x, t)[0][: m - t], rtol=1e-12)
+    for i in range(len(point)):
+        e = np.zeros(len(point))
+        e[i] = 1e-6
+        assert (loss(point + e) - loss(point - e)) / 2e-6 == pytest.approx(grad[i], rel=1e-4, abs=1e-5)
+
+
+def test_folds_go_on_from_the_store(spark, feats, monkeypatch):
+    """A run that breaks in one fold leaves the others done; the next run fits only what is missing."""
+    from foldcast.session import scratch_path
+
+    store, fitted, real = L.FoldStore(spark, scratch_path(spark, "resume")), [], L.fit_tree_fold
+
+    def broken(task, fold, cfg, into):
+        if fold == 1:
+            raise RuntimeError("lost")
+        real(task, fold, cfg, into)
+
+    monkeypatch.setattr(L, "fit_tree_fold", broken)
+    with pytest.raises(RuntimeError):
+        L.learn_tree(feats, FOLDS, TREE, SMALL, store)
+    assert store.done(L.TREE) == {0, 2}
+    monkeypatch.setattr(L, "fit_tree_fold", lambda task, fold, cfg, into: (fitted.append(fold), real(task, fold, cfg, into)))
+    run = L.learn_tree(feats, FOLDS, TREE, SMALL, store)
+    assert fitted == [1] and store.done(L.TREE) == {0, 1, 2}
+    assert {r.fold_id for r in run.predictions.select("fold_id").distinct().collect()} == {0, 1, 2}
+    assert store.seconds(L.TREE).count() == 3
+
+
+@pytest.mark.parametrize("name", ["tree", "huber"])
+def test_model_round_trip(spark, feats, runs, name):
     from foldcast.session import scratch_path
 
-    path = L.save_run(runs["tree"], scratch_path(spark, "model"))
-    model, scaler, names = L.load_run(spark, path)
-    assert [r.feature for r in names.orderBy("position").collect()] == runs["tree"].features and scaler.count() == 2
+    run = L.load_run(spark, L.save_run(runs[name], scratch_path(spark, "model")))
+    assert run.features == runs[name].features and run.last_stats.count() == 2
+    a, b = (collect(FC.forecast_recursive(feats, r, 2), "symbol", "step").y_pred for r in (run, runs[name]))
+    assert list(a) == list(b)
+    if name == "tree":
+        assert L.score_rows(run, feats).count() == feats.count()
 
 
 def test_classifier_and_fallback(spark, feats):
@@ -367,48 +474,7 @@ def test_classifier_and_fallback(spark, feats):
     assert set(r.prediction for r in scored.select("prediction").distinct().collect()) <= {0, 1}
     avg = S.simple_average(spark.createDataFrame([(1.0, 2.0, 6.0)], "a double, b double, c double"), ["a", "b", "c"])
     assert avg.first().hybrid == 3.0
+    weighted, _ = S.direction_classifier(ready.unionByName(ready), ["a", "b"], max_iter=3)
+    assert weighted.getNumTrees == 3
     few = spark.createDataFrame([("X",)] * 10 + [("Y",)] * 11, "symbol string")
     assert [r.symbol for r in S.enough_aligned(few).collect()] == ["Y"]
-
-
-def test_learner_queries_run_default_sizes(monkeypatch):
-    import inspect
-    from unittest.mock import MagicMock
-
-    from foldcast.catalog import model_queries as Q
-    from foldcast.plans.run import RunConfig
-
-    calls = []
-
-    def record(owner, name):
-        signature = inspect.signature(getattr(owner, name))
-
-        def stub(*args, **named):
-            bound = signature.bind(*args, **named)
-            bound.apply_defaults()
-            calls.append(bound.arguments)
-            return MagicMock()
-
-        monkeypatch.setattr(owner, name, stub)
-
-    for name in ("learn_tree", "learn_sequence", "train_base_models", "tune_sequence", "early_stop_rounds"):
-        record(L, name)
-    record(Q.forecast, "forecast_recursive")
-    record(Q, "run_all")
-    for owner, name in ((Q, "T"), (Q, "M"), (Q, "R"), (Q, "F"), (Q, "scaling"), (Q, "attach"), (Q, "materialise"), (Q, "scratch_path"), (L, "feature_importance"), (L, "save_run"), (L, "tree_output")):
-        monkeypatch.setattr(owner, name, MagicMock())
-    monkeypatch.setattr(L, "load_run", lambda *_: (MagicMock(), MagicMock(), MagicMock()))
-    names = "learn_tree_ensemble learn_tree_walkforward feat_importance learn_sequence_huber learn_sequence_fm train_base_models tune_params early_stop sink_model forecast_recursive pipeline_run rep_top_importance"
-    sizes = {"folds": FoldSpec(), "tree": L.TreeConfig(), "sequence": L.SequenceConfig(), "trials": 10, "count": 30, "config": RunConfig()}
-    for name in names.split():
-        calls.clear()
-        getattr(Q, name)(None, "")
-        assert calls, name
-        for call in calls:
-            assert {k: call[k] for k in sizes if k in call} == {k: sizes[k] for k in sizes if k in call}, name
-            assert call.get("cfg", L.TreeConfig()) in (L.TreeConfig(), L.SequenceConfig()), name
-
-
-def test_training_partitions_do_not_follow_the_session(spark):
-    rows = spark.range(200).selectExpr("'s' AS symbol", "id AS cal", "id AS x", "id AS target")
-    assert L.spread(rows).rdd.getNumPartitions() == L.spread(rows.limit(3)).rdd.getNumPartitions() == L.TRAIN_PARTITIONS

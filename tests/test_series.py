@@ -136,3 +136,51 @@ def test_attach_gives_the_same_rows_broadcast_or_salted(spark):
         a = collect(attach(rows, small, ["k"], how), "id")
         b = collect(attach(rows, small, ["k"], how, limit=1), "id")[list(a.columns)]
         pd.testing.assert_frame_equal(a, b)
+
+
+def with_gaps(spark, gaps, n=900):
+    d = bars(n)
+    d.loc[list(gaps), "close"] = np.nan
+    df = spark.createDataFrame(d.astype(object).where(d.notna(), None), "symbol string, date date, open double, high double, low double, close double, volume double")
+    return d, df
+
+
+GAPS = {
+    "start": range(5), "middle": [100], "three in a row": [300, 301, 302], "across a sub-block": range(250, 262),
+    "every third": range(0, 900, 3), "one in fifteen left": [i for i in range(900) if i % 15], "a whole sub-block": range(200, 520), "end": range(890, 900),
+}
+
+
+@pytest.mark.parametrize("where", GAPS)
+def test_exponential_means_over_gaps(spark, where):
+    d, df = with_gaps(spark, GAPS[where])
+    rows = number_rows(df, SMALL)
+    got = collect(windows.ewm(rows, SMALL, {f"e{k}": ("close", k) for k in (3, 12, 26)}), "date")
+    for k in (3, 12, 26):
+        np.testing.assert_allclose(got[f"e{k}"].astype(float), d.close.ewm(span=k, adjust=False).mean(), rtol=1e-10)
+
+
+def test_both_forms_of_exponential_means_agree(spark):
+    d, df = with_gaps(spark, [])
+    rows = number_rows(df, SMALL)
+    a, b = (collect(windows.ewm(rows, SMALL, {"e": ("close", 26)}, gaps), "date").e for gaps in (True, False))
+    np.testing.assert_allclose(a, b, rtol=1e-12)
+
+
+def test_indicators_over_missing_closes(spark):
+    d, df = with_gaps(spark, [0, 70, 71, 72, 255, 256])
+    got = collect(engineer_features(df, SMALL), "date")
+    fast, slow = (d.close.ewm(span=k, adjust=False).mean() for k in (12, 26))
+    np.testing.assert_allclose(got.MACD.astype(float), fast - slow, rtol=1e-8, atol=1e-9)
+    np.testing.assert_allclose(got.MACD_Signal.astype(float), (fast - slow).ewm(span=9, adjust=False).mean(), rtol=1e-8, atol=1e-9)
+
+
+def test_rows_without_a_series_or_a_time_are_an_error(spark):
+    """They are never dropped in silence."""
+    df = spark.createDataFrame(bars(20))
+    for column in ("symbol", "date"):
+        broken = df.withColumn(column, F.when(F.col("close") < df.agg(F.avg("close")).first()[0], F.col(column)))
+        with pytest.raises(Exception, match=f"a row has no {column}"):
+            number_rows(broken, SMALL).count()
+        with pytest.raises(Exception, match=f"a row has no {column}"):
+            engineer_features(broken, SMALL).collect()

@@ -106,6 +106,32 @@ def test_whole_flow(spark):
     assert out.calibration_held_out.count() == 2
 
 
+def test_flow_goes_on_from_its_folder(spark, monkeypatch):
+    """A second call with the same folder fits nothing and gives the same tables; one that broke late keeps what was done."""
+    from foldcast.plans import run as P
+
+    path = scratch_path(spark, "flow")
+    d = pd.concat([bars(260, 1, "X"), bars(260, 2, "Y", level=900.0)])
+    m = bars(260, 3, macro=True)[["date", "SP500", "VIX", "TNX_Yield"]]
+    frames = spark.createDataFrame(d), spark.createDataFrame(m)
+    with monkeypatch.context() as broken:
+        broken.setattr(P.metrics, "compare_models", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            P.run_all(*frames, TINY, path)
+    done = P.RunFolder(spark, path).finished()
+    assert "fold_metrics" in done and "comparison" not in done
+    for name in ("train_base_models", "learn_tree", "learn_sequence"):
+        monkeypatch.setattr(L, name, lambda *_: pytest.fail("fitted again"))
+    out = P.run_all(*frames, TINY, path)
+    contents = collect(P.run_contents(spark, path), "stage")
+    assert (contents.rows == contents.written).all() and (contents.rows > 0).all() and set(contents.stage) > done
+    assert out.comparison.count() == 14 and out.path == path
+    csv = spark.read.option("header", True).csv(f"{path}/csv/combined_predictions")
+    assert {"Predicted Close Tree Ensemble", "Conf Lower", "Conf Upper"} <= set(csv.columns) and csv.count() == 6
+    ahead = spark.read.option("header", True).csv(f"{path}/csv/future_predictions_tree_ensemble")
+    assert ahead.count() == 6 and str(ahead.agg({"date": "min"}).first()[0]) > str(d.date.max())
+
+
 def test_flow_needs_folds(spark):
     with pytest.raises(NoFoldsError):
         run_all(spark.createDataFrame(bars(120)), None, TINY)
@@ -124,7 +150,7 @@ def test_registered_queries(spark):
     sf = "/root/testdata/sf0.001"
     for t in ("lineitem", "orders", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for name in ("src_bars", "fill_macro", "ind_rsi", "fold_assign", "agg_metrics_by_fold", "ci_volatility"):
+    for name in ("src_bars", "fill_macro", "ind_rsi", "win_ewm_gaps", "agg_metrics_by_fold", "base_arima", "ci_future", "meta_direction_clf"):
         got = qs[name](spark, sf)
         columns = sorted(got.columns)
         rel = con.sql(sql[name])
