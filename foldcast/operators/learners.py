@@ -67,6 +67,7 @@ class SequenceConfig:
     reg: float = 1.0
     fm_reg: float = 0.01
     epsilon: float = 1.35
+    tol: float = 1e-6
     factor_size: int = 8
     step: float = 0.0005
     patience: int = 0
@@ -330,7 +331,7 @@ def learn_sequence(
     blocks = task.blocks.persist()
     try:
         if kind == HUBER:
-            params, taken = SF.fit_huber(blocks, problems, d, t, cfg.epsilon, cfg.reg, cfg.max_iter)
+            params, taken = SF.fit_huber(blocks, problems, d, t, cfg.epsilon, cfg.reg, cfg.max_iter, cfg.tol)
             course = [{"rounds": int(k)} for k in taken]
         else:
             params, course = SF.fit_fm(blocks, problems, d, t, cfg.max_iter, cfg.seed, cfg.patience)

@@ -309,7 +309,7 @@ def test_flat_trees_equal_the_model(runs, feats):
     x = rng.normal(0, 2, (200, len(run.features)))
     from pyspark.ml.linalg import Vectors
 
-    table = feats.sparkSession.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x.tolist())], "i int, x vector")
+    table = feats.sparkSession.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x.tolist())], ["i", "x"])
     for model, column in zip(run.last_model.stages, ("boosted", "bagged")):
         want = [r[column] for r in model.transform(table).orderBy("i").collect()]
         np.testing.assert_allclose(FC.TreeArrays.of(model).predict(x), want, rtol=1e-12)
@@ -378,7 +378,7 @@ def test_sequence_fit_stops_and_restores(feats):
     stops = collect(L.sequence_stops(feats, FOLDS, cfg, SMALL), "fold_id")
     assert (stops.rounds <= 60).all() and (stops.rounds < 60).any()
     ended = stops[stops.rounds < 60]
-    assert (ended.rounds - ended.best_round == 4 - 0).all() or (ended.rounds - ended.best_round <= 4).all()
+    assert (ended.rounds - ended.best_round <= 4).all()
     assert np.isfinite(stops.best_loss).all()
 
 
@@ -397,7 +397,7 @@ def test_huber_passes_reach_the_fit_of_one_table(spark, feats):
 
     folds, t = FoldSpec(200, 81, 81), 3
     d = feats.where("symbol = 'X'").select("symbol", "date", "close", "volume", "RSI_14", "rn", "n")
-    cfg = L.SequenceConfig(time_step=t, max_iter=400, reg=0.1)
+    cfg = L.SequenceConfig(time_step=t, max_iter=400, reg=0.1, tol=1e-13)
     run = L.learn_sequence(d, folds, L.HUBER, cfg, SMALL, last_only=True)
     low, width = (run.last_stats.first().asDict() for _ in range(2))
     names = run.features
