@@ -59,6 +59,7 @@ class TokenAutomaton:
                 self.reach[s[:k]] = max(size, self.reach.get(s[:k], 0))
         self.special_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
         self.letters = byte_letters()
+        self.limit = KNOWN_WORDS
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -123,9 +124,9 @@ class TokenAutomaton:
                 upto = ends.pop() - 1
 
     def _keep(self, word: str, found: tuple[int, ...]) -> tuple[int, ...]:
-        if len(self.words) >= KNOWN_WORDS:
+        if len(self.words) >= self.limit:
             self.older, self.words = self.words, {}
-            if len(self.arcs) > 4 * KNOWN_WORDS:
+            if len(self.arcs) > 4 * self.limit:
                 self.arcs = {}
         self.words[word] = found
         return found
@@ -199,13 +200,14 @@ def _ids(rows: list[array]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, pa.int32()))
 
 
-def _with_columns(df: DataFrame, added: dict[str, T.DataType], vocabulary: str, fn) -> DataFrame:
+def _with_columns(df: DataFrame, added: dict[str, T.DataType], vocabulary: str, fn, known_words: int = KNOWN_WORDS) -> DataFrame:
     """``df`` with more columns, computed batch by batch; columns of these names are replaced."""
     kept = df.drop(*added)
     names, schema = kept.columns, T.StructType([*kept.schema.fields, *(T.StructField(n, k) for n, k in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = load_automaton(vocabulary)
+        automaton.limit = known_words
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):  # few texts are open as Python values at a time
                 part = batch.slice(first, ROWS)
@@ -216,8 +218,11 @@ def _with_columns(df: DataFrame, added: dict[str, T.DataType], vocabulary: str,
     return df.mapInArrow(run, schema)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", decoded: bool = False) -> DataFrame:
-    """``docs`` with ``ids``: the token ids of each whole text, without markers around it; also what they decode to, if asked."""
+def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", decoded: bool = False, known_words: int = KNOWN_WORDS) -> DataFrame:
+    """``docs`` with ``ids``: the token ids of each whole text, without markers around it; also what they decode to, if asked.
+
+    ``known_words`` bounds the words that a task keeps with their ids, at some 400 bytes each; only speed depends on it.
+    """
     need_columns(docs, text)
 
     def fn(automaton: TokenAutomaton, batch: pa.RecordBatch) -> list[pa.Array]:
@@ -225,7 +230,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", decod
         return [_ids(rows), pa.array([automaton.decode(r) for r in rows], pa.string())] if decoded else [_ids(rows)]
 
     added: dict[str, T.DataType] = {"ids": T.ArrayType(T.IntegerType())}
-    return _with_columns(docs, {**added, "decoded": T.StringType()} if decoded else added, vocabulary, fn)
+    return _with_columns(docs, {**added, "decoded": T.StringType()} if decoded else added, vocabulary, fn, known_words)
 
 
 def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -240,7 +245,7 @@ def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids") -> Data
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encode, decode, and reduce both to a count and two digests per document; one output row per input row."""
-    both = encode_documents(docs.select("doc_id", "text"), vocabulary, decoded=True)
+    both = encode_documents(docs.select("doc_id", "text"), vocabulary, decoded=True, known_words=200_000)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

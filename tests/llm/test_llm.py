@@ -360,11 +360,11 @@ def test_blocks_are_cut_by_shingles(spark, texts, monkeypatch, tokens):
 
 
 def test_encoder_looks_up_repeated_words_and_empty_tables(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "KNOWN_WORDS", 3)
     texts = ["alpha beta alpha gamma delta alpha beta", "", None, "alpha " * 50, "beta beta"] * 2
     own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     automaton = bpe.load_automaton(VOCABULARY)
     automaton.forget()
+    monkeypatch.setattr(automaton, "limit", 3)
     for t in texts:
         ids = own.encode(t or "", add_special_tokens=False).ids
         assert list(automaton.encode(t or "")) == ids and automaton.decode(ids) == own.decode(ids, skip_special_tokens=False)
