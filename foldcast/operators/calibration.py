@@ -9,37 +9,74 @@ from foldcast.operators.joins import attach
 from foldcast.session import materialise
 
 DEFAULT_VIX = 20.0
+SLICE_ROWS = 200_000  # rows of a group that one task ranks at most
+CUTS = 16  # parts that a too large slice is cut into
 
 
-def exact_quantiles(df: DataFrame, keys: tuple[str, ...], value: str, probs: tuple[float, ...], margin: float = 0.005) -> DataFrame:
-    """Exact quantiles with linear interpolation: ``keys, n, q0, q1, ...``.
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def _above(cuts: list[float]) -> Column:
+    """How many of the proposed cut points a value lies above."""
+    return sum((F.when(F.col("_v") > F.col("_cuts")[i], 1).otherwise(0) for i in range(len(cuts))), F.lit(0)).cast("long")
+
 
-    No group is gathered or sorted whole. An approximate digest proposes cut
-    points close around each wanted rank; counting between cuts tells exactly
-    which slice holds the rank, and only those slices are ranked, by distinct
-    value. A poor digest makes slices larger, never the result wrong.
+def _holding(sliced: DataFrame, keys: list[str], ranks: list[Column]) -> tuple[DataFrame, DataFrame, int]:
+    """Rows of the slices that hold a wanted rank, those slices, and the size of the largest that has more than one value.
+
+    ``sliced``: keys, n, _old and _start (a slice of the round before and the rank it starts at), _slice and _v.
+    """
+    sizes = sliced.groupBy(*keys, "n", "_old", "_start", "_slice").agg(F.count(F.lit(1)).alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    before = Window.partitionBy(*keys, "_old").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_from", F.col("_start") + F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    needed = materialise(sizes.where(_any([(r >= F.col("_from")) & (r < F.col("_from") + F.col("_size")) for r in ranks])))
+    largest = needed.where("_lo < _hi").agg(F.max("_size")).first()[0] or 0
+    places = needed.select(*keys, "_old", "_slice", "_from")
+    inside = attach(sliced, places, [*keys, "_old", "_slice"]).select(*keys, "n", F.col("_slice").alias("_old"), F.col("_from").alias("_start"), "_v")
+    return inside, needed, largest
+
+
+def rank_slices(df: DataFrame, keys: list[str], value: str, ranks: list[Column], cuts: list[float], limit: int) -> tuple[DataFrame, DataFrame]:
+    """Values around the wanted ranks of every group, in slices of at most ``limit`` rows or of one value, and those slices.
+
+    An approximate digest proposes cut points; counting between them tells which slices hold the ranks. Slices that are still
+    too large are cut again, round by round.
     """
-    keys = list(keys)
     data = materialise(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
-    cuts = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
     digest = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", cuts, 10000).alias("_cuts"))
-    slice_no = sum((F.when(F.col("_v") > F.col("_cuts")[i], 1).otherwise(0) for i in range(len(cuts))), F.lit(0))
-    sliced = attach(data, digest, keys).select(*keys, "n", "_v", slice_no.alias("_slice"))
+    start = F.lit(0).cast("long")
+    sliced = attach(data, digest, keys).select(*keys, "n", start.alias("_old"), start.alias("_start"), "_v", _above(cuts).alias("_slice"))
+    inside, needed, largest = _holding(sliced, keys, ranks)
+    finer = [(i + 1) / CUTS for i in range(CUTS - 1)]
+    while largest > limit:
+        inside = materialise(inside)
+        digest = inside.groupBy(*keys, "_old").agg(F.percentile_approx("_v", finer, 10000).alias("_cuts"))
+        place = F.col("_old") * CUTS + _above(finer)
+        sliced = attach(inside, digest, [*keys, "_old"]).select(*keys, "n", "_old", "_start", "_v", place.alias("_slice"))
+        inside, needed, smaller = _holding(sliced, keys, ranks)
+        if smaller >= largest:  # a digest that no longer cuts: what is left is ranked by distinct value all the same
+            break
+        largest = smaller
+    return inside, needed
+
+
+def exact_quantiles(df: DataFrame, keys: tuple[str, ...], value: str, probs: tuple[float, ...], margin: float = 0.005, limit: int = SLICE_ROWS) -> DataFrame:
+    """Exact quantiles with linear interpolation: ``keys, n, q0, q1, ...``.
 
-    sizes = sliced.groupBy(*keys, "n", "_slice").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    No group is gathered or sorted whole: only slices of at most ``limit`` rows around the wanted ranks are ranked, by distinct
+    value. A poor digest costs rounds, it never makes the result wrong.
+    """
+    keys = list(keys)
+    cuts = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
     at = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
     ranks = [r for h in at for r in (F.floor(h), F.ceil(h))]
-    holds = [(r >= F.col("_start")) & (r < F.col("_start") + F.col("_size")) for r in ranks]
-    wanted = holds[0]
-    for h in holds[1:]:
-        wanted = wanted | h
-    needed = sizes.where(wanted).select(*keys, "_slice", "_start")
-
-    inside = attach(sliced, needed, [*keys, "_slice"])
-    inside = inside.groupBy(*keys, "n", "_slice", "_start", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside, _ = rank_slices(df, keys, value, ranks, cuts, limit)
+    inside = inside.groupBy(*keys, "n", "_old", "_start", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*keys, "_old").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("_end", F.col("_start") + F.sum("_c").over(upto))
     hit = [F.max(F.when((r >= F.col("_end") - F.col("_c")) & (r < F.col("_end")), F.col("_v"))).alias(f"_r{i}") for i, r in enumerate(ranks)]
     found = inside.groupBy(*keys, "n").agg(*hit)

@@ -183,6 +183,7 @@ class TreeFolds:
     stats: DataFrame
     names: list[str]
     time: str
+    partitions: int
 
     @classmethod
     def of(cls, features: DataFrame, folds: FoldSpec, spec: SeriesSpec) -> TreeFolds:
@@ -191,7 +192,9 @@ class TreeFolds:
         edges = calendar_folds(base, folds)
         stats = materialise(standard_stats(base, folds, names))
         pos = base.select(spec.time, F.col("rn").alias("target_pos")).distinct().withColumnRenamed(spec.time, "target_date")
-        return cls(materialise(attach(base, pos, ["target_date"])), edges, stats, names, spec.time)
+        rows = materialise(attach(base, pos, ["target_date"]))
+        size = rows.count() * (8 * len(names) + 32)
+        return cls(rows, edges, stats, names, spec.time, max(1, size // TRAIN_BYTES))
 
     def scaler(self, fold: int) -> DataFrame:
         return self.stats.where(F.col("fold_id") == fold)
@@ -209,8 +212,7 @@ class TreeFolds:
         _, train_end, _ = self.edges[fold]
         known = scaled.where((F.col("rn") < train_end) & (F.col("target_pos") <= train_end))
         rows = known.select("x", "target", (F.col("rn") >= int(train_end * 0.9)).alias("validating"))
-        size = rows.count() * (8 * len(self.names) + 32)
-        return rows.repartition(max(1, size // TRAIN_BYTES))
+        return rows.repartition(self.partitions)
 
     def forecasts(self, fold: int, scaled: DataFrame, model: PipelineModel) -> DataFrame:
         test = model.transform(scaled.where(F.col("rn") >= self.edges[fold][1]))

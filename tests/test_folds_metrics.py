@@ -74,7 +74,7 @@ def plain_labels(prices):
 def prices():
     rng = np.random.default_rng(77)
     walk = 40 * np.exp(np.cumsum(rng.choice([-0.01, -0.0004, 0.0, 0.0004, 0.012], 90)))
-    return walk, walk * (1 + rng.normal(0, 0.006, 90))
+    return walk, walk * (1 + rng.normal(0, 0.015, 90))
 
 
 def test_direction_labels(spark, prices):

@@ -107,6 +107,23 @@ def test_exact_quantiles_match_numpy(spark, kind):
         np.testing.assert_allclose([row[f"q{i}"] for i in range(5)], np.percentile(values, [100 * p for p in probs]), rtol=1e-12)
 
 
+def test_large_groups_are_cut_until_slices_are_small(spark):
+    """One group of a million values next to a small one: no ranked slice has more rows than the bound, and the quantiles are exact."""
+    n, limit = 1_000_000, 700
+    wide = spark.range(n).select(F.lit("X").alias("symbol"), (F.pmod(F.col("id") * 7919, F.lit(n)) / 7.0).alias("v"))
+    heavy = spark.range(30_000).select(F.lit("Z").alias("symbol"), F.when(F.col("id") % 3 == 0, F.col("id").cast("double")).otherwise(-1.0).alias("v"))
+    df = wide.unionByName(heavy).unionByName(spark.createDataFrame([("Y", 1.0), ("Y", 4.0)], "symbol string, v double"))
+    at = [(F.col("n") - 1) * p for p in (0.025, 0.5, 0.975)]
+    ranks = [r for h in at for r in (F.floor(h), F.ceil(h))]
+    inside, needed = K.rank_slices(df, ["symbol"], "v", ranks, [0.02, 0.03, 0.97, 0.98], limit)
+    assert needed.where(F.col("_lo") < F.col("_hi")).agg(F.max("_size")).first()[0] <= limit
+    assert inside.where("symbol = 'X'").count() <= 6 * limit
+    got = {r.symbol: r for r in K.exact_quantiles(df, ("symbol",), "v", (0.025, 0.5, 0.975), limit=limit).collect()}
+    values = {"X": np.arange(n) / 7.0, "Y": [1.0, 4.0], "Z": np.where(np.arange(30_000) % 3 == 0, np.arange(30_000.0), -1.0)}
+    for s, v in values.items():
+        np.testing.assert_allclose([got[s].q0, got[s].q1, got[s].q2], np.percentile(v, [2.5, 50, 97.5]), rtol=1e-12)
+
+
 def test_coverage(spark):
     def report(y, lo, hi):
         rows = [("X", "m", float(a), float(b), float(c)) for a, b, c in zip(y, lo, hi)]

@@ -141,6 +141,7 @@ def test_attach_gives_the_same_rows_broadcast_or_salted(spark):
 def with_gaps(spark, gaps, n=900):
     d = bars(n)
     d.loc[list(gaps), "close"] = np.nan
+    d = d[["symbol", "date", "open", "high", "low", "close", "volume"]]
     df = spark.createDataFrame(d.astype(object).where(d.notna(), None), "symbol string, date date, open double, high double, low double, close double, volume double")
     return d, df
 
