@@ -20,9 +20,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Long texts make batches large; bounded ones keep a Python worker's memory even.
+def small_batches(spark: SparkSession) -> None:
+    """Long texts make batches large; bounded ones keep the memory of executors and their Python workers even."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
