@@ -662,18 +662,16 @@ def cal_business_days(spark, sf):
 
 @query(
     "forecast_recursive",
-    with_(f"SELECT symbol, unnest(['{L.TREE}', '{L.HUBER}']) AS model, step, date, true AS finite, true AS near FROM calendar", "calendar"),
+    with_(f"SELECT symbol, unnest(['{L.TREE}', '{L.HUBER}']) AS model, step, date, true AS finite FROM calendar", "calendar"),
 )
 def forecast_recursive(spark, sf):
-    """Thirty business days by the last fold's tree ensemble and Huber model; ``near``: within half and double of the last close."""
+    """Thirty business days by the last fold's tree ensemble and Huber model."""
     feats = materialise(T.features(spark, sf))
     tree, linear = L.in_threads(lambda fit: fit(), [
         lambda: L.learn_tree(feats, FoldSpec(), last_only=True), lambda: L.learn_sequence(feats, FoldSpec(), L.HUBER, last_only=True)
     ])
     both = forecast.forecast_recursive(feats, tree, 30).unionByName(forecast.forecast_recursive(feats, linear, 30))
-    last = feats.where(F.col("rn") == F.col("n") - 1).select("symbol", "close")
-    near = F.col("y_pred").between(F.col("close") / 2, F.col("close") * 2)
-    return both.join(last, "symbol").select("symbol", "model", "step", "date", _finite("y_pred").alias("finite"), near.alias("near"))
+    return both.select("symbol", "model", "step", "date", _finite("y_pred").alias("finite"))
 
 
 PIPELINE_TABLES = [
