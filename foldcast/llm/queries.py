@@ -35,8 +35,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_class_lm")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model, counts = classlm.train_class_model(docs.where(classlm.trained_on()))
-    scored = classlm.score_documents(docs, model, counts)
+    classes, words = classlm.fit_word_classes(docs.where(classlm.trained_on()))
+    lines = classlm.class_lines(docs, classes, words)  # of all documents: once for the class bigrams and for the scores
+    scored = classlm.score_lines(lines, classlm.fit_steps(lines.where(classlm.trained_on()), classes))
     return scored.select("doc_id", (~classlm.trained_on()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -262,13 +263,102 @@ def test_class_model_scores(spark, texts):
         assert got[i].score < 0
 
 
-def test_tail_words_join_their_counts(spark, texts, monkeypatch):
+def test_tail_words_join_their_counts(spark, texts):
+    """The size of the lookup table changes no count, class or score."""
     docs = frame(spark, texts)
-    want = {r.doc_id: r.base_score for r in classlm.score_documents(docs, *classlm.train_class_model(docs)).collect()}
-    table = classlm.lookup_table
-    monkeypatch.setattr(classlm, "lookup_table", lambda counts: table(counts, 5, 5))
-    got = {r.doc_id: r.base_score for r in classlm.score_documents(docs, *classlm.train_class_model(docs)).collect()}
-    assert got == pytest.approx(want, rel=1e-9)
+
+    def scores(size):
+        classes, words = classlm.fit_word_classes(docs, head=6, size=size)
+        lines = classlm.class_lines(docs, classes, words)
+        return {r.doc_id: (r.n_known, r.base_score, r.score) for r in classlm.score_lines(lines, classlm.fit_steps(lines, classes)).collect()}
+
+    want, got = scores(1000), scores(5)
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want) and len(got) == len(want)
+
+
+def _hash_of(word):
+    (_, _, found), = classlm.batch_words(pa.array([word]))
+    return int(found.hash.view(np.int64)[0])
+
+
+def test_class_scores_against_brute_force(spark, texts):
+    docs = frame(spark, [*texts, "unseen tokens here 7"])
+    train = docs.where((F.col("doc_id") < len(texts)) & classlm.trained_on())
+    classes, words = classlm.fit_word_classes(train, head=6, size=8)
+    lines = classlm.class_lines(docs, classes, words)
+    got = {r.doc_id: r.score for r in classlm.score_lines(lines, classlm.fit_steps(lines.where((F.col("doc_id") < len(texts)) & classlm.trained_on()), classes)).collect()}
+    assert got == pytest.approx({r.doc_id: r.score for r in classlm.score_documents(docs, *classlm.train_class_model(train, head=6)).collect()}, rel=1e-9)
+
+    k, table = classlm.CLASSES, classes.lookup
+    tokens = {i: words_of(t) for i, t in enumerate([*texts, "unseen tokens here 7"])}
+    learned = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    seen = collections.Counter(w for i in learned for w in tokens[i])
+    hashes = {w: _hash_of(w.decode()) for t in tokens.values() for w in t}
+    head = sorted(seen, key=lambda w: (-seen[w], hashes[w]))[:6]
+    assert {hashes[w] for w in head} == set(table.word[table.type >= 0].tolist())
+    stand_in = {}
+    for w in hashes:
+        (_, _, found), = classlm.batch_words(pa.array([w.decode()]))
+        stand_in[w] = int(classes.own[table.find(found)[0] if w in head else table.head + classlm.endings(found)[0]])
+    end = classes.end_class
+
+    # Exchange steps: the class that makes the contexts of a word likeliest, against the table of the stand-ins.
+    def bigrams(of):
+        out = np.zeros((k, k))
+        for i in learned:
+            line = [end, *(of[w] for w in tokens[i]), end]
+            for x, y in zip(line, line[1:]):
+                out[x, y] += 1
+        return out
+
+    def steps_of(t):
+        share = (t.sum(axis=0) + 1) / (t.sum() + k)
+        return np.log10((t + classlm.BACKOFF * share) / (t.sum(axis=1, keepdims=True) + classlm.BACKOFF))
+
+    first = bigrams(stand_in)
+    step, size = steps_of(first), first.sum(axis=0)
+    own = dict(stand_in)
+    of_word = {r.word: (r.n, r["class"]) for r in words.collect()}
+    assert set(of_word) == {hashes[w] for w in seen if w not in head}
+    for w in seen:
+        if w not in head:
+            worth = np.zeros(k)
+            for i in learned:
+                line = [end, *(stand_in[x] for x in tokens[i]), end]
+                for at, x in enumerate(tokens[i]):
+                    if x == w:
+                        worth += step[line[at], :] + step[:, line[at + 2]] - np.log10(size + 1)
+            n, chosen = of_word[hashes[w]]
+            assert n == seen[w] and worth[chosen] == pytest.approx(worth.max(), rel=1e-9)
+            own[w] = chosen
+    # Scores: bigrams of the final classes, and one unseen word in each class.
+    step = steps_of(bigrams(own))
+    n_in, v_in = np.zeros(k), np.zeros(k)
+    for w in seen:
+        n_in[own[w]] += seen[w]
+        v_in[own[w]] += 1
+    n_in[end] += len(learned)
+    v_in[end] += 1
+    for i, t in tokens.items():
+        line = [end, *(own[w] for w in t), end]
+        n_of = [*(seen[w] for w in t), len(learned)]
+        want = sum(step[x, y] + np.log10((n + 1) / (n_in[y] + v_in[y] + 1)) for x, y, n in zip(line, line[1:], n_of))
+        assert got[i] == pytest.approx(want, rel=1e-9), i
+
+
+def test_class_model_edges(spark, texts):
+    empty = frame(spark, texts).limit(0)
+    model, words = classlm.train_class_model(empty)
+    got = classlm.score_documents(frame(spark, ["a b", None, ""]), model, words).collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in sorted(got, key=lambda r: r.doc_id)] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0), (1, 0, 0, 0.0)]
+    assert classlm.score_documents(empty, model, words).count() == 0
+    # Ties at the edge of the head, rows that repeat, columns with the names of the operator's own, a long text.
+    odd = frame(spark, ["p q r s", "p q r s", "z " * 200_000]).withColumnsRenamed({"lang": "row", "source": "line", "label": "found", "n_chars": "word"})
+    odd = odd.unionByName(odd.limit(1))
+    classes, _ = classlm.fit_word_classes(odd, head=2)
+    assert classes.lookup.head == 2 and classes.n == 12 + 200_000 + 4
+    rows = classlm.score_documents(odd, *classlm.train_class_model(odd, head=2)).collect()
+    assert sorted(r.n_tokens for r in rows) == [5, 5, 5, 200_001] and len({round(r.score, 6) for r in rows if r.n_tokens == 5}) == 1
 
 
 def test_quality_net_learns_and_handles_edges(spark):
