@@ -1,9 +1,9 @@
 """Quality classifier: a byte-level convolutional network over overlapping chunks that cover the whole document.
 
 Bytes are embedded; learned filters slide over each chunk; the maximum of each filter over a chunk describes it; the mean and the
-maximum over all chunks of a document go through a small dense layer to one probability. The network is trained in numpy on the
-chunks of at most ``SAMPLE`` labelled documents of each class (lowest key hash, at most ``CHUNKS`` chunks of each, evenly spread);
-every document is scored over all its chunks.
+maximum over all chunks of a document go through a small dense layer to one probability. The network is trained in numpy on all
+chunks of a sample of labelled documents: of each class those of lowest key hash, at most ``SAMPLE`` of them and ``BUDGET`` chunks in
+all, and a document enters whole or not at all. Every document is scored over all its chunks.
 
 Defined results: NULL and empty texts are scored as one blank chunk; with labels of one class or none the score is that share (0.5
 for none); repeated rows are scored alike. Labels, language, source and key are never inputs of the score.
@@ -22,7 +22,7 @@ from foldcast.llm.shared import hashed_fold, keyed, need_columns, stored
 from foldcast.llm.words import release_memory, row_blocks, text_buffer
 
 CHUNK, STEP = 512, 448
-SAMPLE, CHUNKS, THRESHOLD, FOLDS = 1500, 4, 0.3, 5
+SAMPLE, BUDGET, THRESHOLD, FOLDS = 1500, 16_000, 0.3, 5
 STRIDE, TAPS = 2, 4  # a filter sees TAPS pairs of bytes
 DEPTH, FILTERS, DENSE = 6, 24, 12
 
@@ -143,24 +143,38 @@ class ByteNet:
         return 1 / (1 + np.exp(-np.clip(out + self.shift, -40, 40)))
 
 
-def _training_chunks(docs: DataFrame, text: str, most: int) -> DataFrame:
+def _chunk_count(text: str) -> Column:
+    """How many chunks a text has."""
+    return F.greatest(F.lit(1), 1 + F.ceil((F.coalesce(F.octet_length(text), F.lit(0)) - CHUNK) / STEP)).cast("long")
+
+
+def _training_chunks(docs: DataFrame, text: str) -> DataFrame:
+    """All chunks of each text, one after the other in one value."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, edges = text_buffer(batch.column(text))
-            start, row = chunk_starts(edges)
-            begin = np.searchsorted(row, np.arange(len(edges)))
             packed = []
             for i in range(len(edges) - 1):
-                n = begin[i + 1] - begin[i]
-                pick = begin[i] + (np.arange(n) if n <= most else np.linspace(0, n - 1, most).astype(int))
-                packed.append(chunk_bytes(data, edges, start[pick], row[pick]).tobytes())
+                start, row = chunk_starts(edges[i : i + 2])
+                packed.append(chunk_bytes(data, edges[i : i + 2], start, row).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_y"), pa.array(packed, pa.binary())], names=["_key", "_y", "chunks"])
 
     schema = T.StructType([docs.schema["_key"], docs.schema["_y"], T.StructField("chunks", T.BinaryType())])
     return docs.select("_key", "_y", text).mapInArrow(run, schema)
 
 
-def train_quality_net(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, chunks: int = CHUNKS) -> ByteNet | float:
+def sample_rows(sizes: list, budget: int) -> list:
+    """Rows (class, chunks, id, ...) in their order, as long as the chunks of their class fit the budget; too long ones are passed over."""
+    used, kept = {0: 0, 1: 0}, []
+    for r in sizes:
+        if used[r[0]] + r[1] <= budget:
+            used[r[0]] += r[1]
+            kept.append(r[2])
+    return kept
+
+
+def train_quality_net(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, budget: int = BUDGET) -> ByteNet | float:
     """The network, or the share of label 1 where there is only one class. ``may_learn`` is a condition on ``key``."""
     need_columns(docs, key, text)
     known = labels.where(may_learn & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_y"))
@@ -169,8 +183,11 @@ def train_quality_net(docs: DataFrame, labels: DataFrame, may_learn: Column, key
         return float(next(iter(shares), 0.5))
     one = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_key"), "_key").limit(sample) for y in (0, 1)]
     picked = stored(one[0].unionByName(one[1]), "quality-sample")
-    rows = keyed(docs.select(F.col(key).alias("_key"), text), picked, "_key", "inner")
-    got = sorted(stored(_training_chunks(rows, text, chunks), "quality-chunks").collect(), key=lambda r: (r["_key"], r["chunks"]))
+    rows = keyed(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), picked, "_key", "inner")
+    rows = stored(rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_n", _chunk_count("_text")), "quality-texts")
+    by_hash = [rows.where(F.col("_y") == y).orderBy(F.xxhash64("_key"), "_key", F.xxhash64("_text"), "_id").limit(sample) for y in (0, 1)]
+    ids = sample_rows([r for part in by_hash for r in part.select("_y", "_n", "_id").collect()], budget)
+    got = sorted(_training_chunks(rows.where(F.col("_id").isin(ids)), "_text").collect(), key=lambda r: (r["_key"], r["chunks"]))
     if len({r["_y"] for r in got}) < 2:
         return float(next((r["_y"] for r in got), 0.5))
     packed = [np.frombuffer(r["chunks"], dtype=np.uint8).reshape(-1, CHUNK) for r in got]

@@ -376,6 +376,22 @@ def test_quality_net_learns_and_handles_edges(spark):
     assert quality.score_quality(docs.limit(0), net).count() == 0
 
 
+def test_quality_sample_takes_whole_texts(spark, monkeypatch):
+    sizes = [0, 1, quality.CHUNK, quality.CHUNK + 1, quality.CHUNK + quality.STEP, quality.CHUNK + quality.STEP + 1, 200_000]
+    docs = frame(spark, ["x" * n for n in sizes] + ["é" * 400, None])
+    got = [r.n for r in docs.orderBy("doc_id").select(quality._chunk_count("text").alias("n")).collect()]
+    assert got == [len(quality.chunk_starts(np.array([0, n]))[0]) for n in [*sizes, 800, 0]]
+    # Whole texts in order of hash; one that does not fit is passed over, later ones that fit are taken.
+    assert quality.sample_rows([(0, 3, "a"), (0, 9, "b"), (0, 2, "c"), (1, 5, "d"), (1, 1, "e")], 5) == ["a", "c", "d"]
+    fitted = []
+    monkeypatch.setattr(quality.ByteNet, "fit", lambda self, chunks, row, y: fitted.append((chunks, row)) or self)
+    texts = ["a" * 3000, "b" * 100, "c" * 100, "d" * 5000]
+    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    quality.train_quality_net(frame(spark, texts), labels, F.lit(True))
+    chunks, row = fitted[0]
+    assert np.bincount(row).tolist() == [7, 1, 1, 12] and set(bytes(chunks[row == 3].ravel())) == {0, ord("d")}
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
