@@ -356,6 +356,33 @@ def test_forecast(feats, runs, name):
     assert all((got[got.symbol == s].date > d).all() for s, d in last)
 
 
+@pytest.mark.parametrize("name", ["huber", "fm"])
+def test_forecast_does_not_run_away(feats, runs, name):
+    """A model whose gain is above one: the first day is its plain forecast, and later ones stay within what its known inputs allow."""
+    from foldcast.operators import sequence_fit as SF
+
+    run = runs[name]
+    t, d = run.time_step, len(run.features)
+    steep = np.zeros_like(run.params)
+    weights = steep[: t * d] if name == "huber" else steep[1 : 1 + t * d]
+    weights[(t - 1) * d] = 4.0  # the newest close
+    if name == "fm":
+        steep[1 + t * d + (t - 1) * d] = 2.0
+        steep[1 + t * d + (t - 1) * d + 1] = 2.0
+    steep[-1 if name == "huber" else 0] = 0.5
+    got = collect(FC.forecast_recursive(feats, replace(run, params=steep), 40), "symbol", "step")
+    state = collect(FC.forecast_state(feats, run.features, t), "symbol")
+    stats = collect(run.last_stats, "symbol")
+    for i, (_, path) in enumerate(got.groupby("symbol")):
+        low, width = (stats.loc[i, [p + c for c in run.features]].to_numpy(float) for p in ("min_", "range_"))
+        known = (np.stack([np.asarray(r, float) for r in state.loc[i, "_win"]]) - low) / width
+        most = max(1.0, known[:, 0].max()), max(1.0, known[:, 1].max())
+        bound = 0.5 + 4.0 * most[0] + (4.0 * most[0] * most[1] if name == "fm" else 0.0)
+        scaled = (path.y_pred.to_numpy() - low[0]) / width[0]
+        assert scaled[0] == pytest.approx(SF.window_guess(known[None], steep)[0], rel=1e-9)
+        assert np.isfinite(scaled).all() and (scaled <= bound + 1e-9).all()
+
+
 @pytest.mark.parametrize("name", ["tree", "huber"])
 def test_forecast_of_short_and_unseen_symbols(feats, runs, name):
     """With as many rows as a step needs the forecast is that of the long series; with fewer, or unseen, the last close stays."""
