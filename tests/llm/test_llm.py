@@ -229,6 +229,38 @@ def test_secret_rules_and_added_spans(spark):
     assert secrets.scan_secrets(docs, None).count() == len(texts)
 
 
+def test_secret_net_learns_from_every_window(spark, monkeypatch):
+    """More plain windows than any sample held: each is learnt from or judges once, in parts that make no difference to a cluster."""
+    texts = [f"token={hashlib.md5(str(i).encode()).hexdigest()} then {''.join('abcdefghij'[(i * p + i // 7) % 10] for p in range(1, 24))}{'klmnopqr'[i % 8]}{chr(97 + i // 208 % 26)}{chr(97 + i // 8 % 26)}" for i in range(2600)]
+    docs = frame(spark, [*texts, *texts[:50], None, ""])
+    want = {(secrets.run_label(t, m.start(), m.end(), secrets.base_spans(t)), secrets.window(t, m.start(), m.end())) for t in texts for m in secrets.RUN.finditer(t)}
+    found = secrets.labelled_windows(docs).collect()
+    assert {(r.label, bytes(r.codes)) for r in found} == want and len(found) == len(want) and min(sum(y == k for y, _ in want) for k in (0, 1)) > 2000
+    seen = {"learnt": 0, "judged": 0}
+    fit, calibrate = secrets.fit_net, secrets.calibrate
+
+    def counted_fit(rows, count, share, **kw):
+        seen["learnt"] = rows.count()
+        assert count == rows.count() and share == pytest.approx(rows.where("label = 1").count() / count)
+        first, second = fit(rows, count, share, part=1000, rounds=2), fit(rows.repartition(5), count, share, part=1000, rounds=2)
+        assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(first.params(), second.params()))
+        return first
+
+    def counted_calibrate(net, rows, positives, negatives, recall):
+        seen["judged"] = rows.count()
+        out = calibrate(net, rows, positives, negatives, recall)
+        p = {y: out.probability(secrets._codes([bytes(r.codes) for r in rows.where(f"label = {y}").collect()])) for y in (0, 1)}
+        assert (len(p[1]), len(p[0])) == (positives, negatives)
+        assert out.threshold == pytest.approx(max(0.5, np.sort(p[1])[int((1 - recall) * positives)]), rel=1e-5)
+        assert (p[1] >= out.threshold).mean() > 0.9 and (p[0] < out.threshold).mean() > 0.9
+        return out
+
+    monkeypatch.setattr(secrets, "fit_net", counted_fit)
+    monkeypatch.setattr(secrets, "calibrate", counted_calibrate)
+    secrets.train_secret_net(docs)
+    assert seen["learnt"] + seen["judged"] == len(want) and seen["judged"] > len(want) / 5
+
+
 def test_personal_data_rules():
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     rng = random.Random(3)
