@@ -532,3 +532,20 @@ def test_fallback_query_keeps_every_aligned_row(spark):
     wide = T.plain_aligned(T.features(spark, sf)).groupBy("symbol").count().collect()
     got = model_queries.meta_fallback(spark, sf).groupBy("symbol").count().collect()
     assert sorted(got) == sorted(wide) and len(got) == 3 and all(r["count"] > 10 for r in got)
+
+
+def test_base_models_share_their_blocks(feats, runs, monkeypatch):
+    """Both sequence models read one set of blocks and forecast what they do alone."""
+    made, of = [], L.SequenceFolds.of
+
+    def counted(*args):
+        made.append(args)
+        return of(*args)
+
+    monkeypatch.setattr(L.SequenceFolds, "of", counted)
+    got = L.train_base_models(feats, FOLDS, TREE, SEQ, spec=SMALL)
+    assert len(made) == 1 and list(got) == [L.TREE, L.HUBER, L.FM]
+    for name, model in (("huber", L.HUBER), ("fm", L.FM)):
+        a, b = (collect(r.predictions, "symbol", "fold_id", "date") for r in (got[model], runs[name]))
+        assert got[model].model_name == model and list(a.date) == list(b.date)
+        np.testing.assert_allclose(a.y_pred, b.y_pred, rtol=1e-9)
