@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from foldcast.llm.shared import stored
+from foldcast.llm.shared import measured, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("near"))
         met = labels.join(near, F.col("v") == F.col("a")).select("v", "label", F.least("label", "near").alias("low"))
         target = labels.select(F.col("v").alias("t"), F.col("label").alias("jump"))
-        moved = stored(met.join(target, F.col("low") == F.col("t")).select("v", F.least("low", "jump").alias("label"), (F.least("low", "jump") != F.col("label")).alias("changed")), "labels")
+        moved = met.join(target, F.col("low") == F.col("t")).select("v", F.least("low", "jump").alias("label"), (F.least("low", "jump") != F.col("label")).alias("changed"))
+        moved, seen = measured(moved, "labels", changed=F.count_if("changed"))
         labels = moved.select("v", "label")
-        if moved.where("changed").isEmpty():
+        if not seen["changed"]:
             return labels

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foldcast.llm.shared import free_name, need_columns, stored
+from foldcast.llm.shared import free_name, measured, need_columns
 
 RATIO = 0.02
 MIN_PAGES = 5
@@ -54,11 +54,11 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     are broadcast when their counted lines are within BROADCAST_LINES; else documents and lists meet by host and salt.
     """
     need_columns(docs, host, text)
-    frequent = stored(boilerplate_lines(docs if pages is None else pages, host, text, ratio, min_pages, None if pages is None else "_group"), "boilerplate")
+    frequent, seen = measured(boilerplate_lines(docs if pages is None else pages, host, text, ratio, min_pages, None if pages is None else "_group"), "boilerplate")
     of_host, drop, salt = (free_name(c, docs.columns) for c in ("_host", "_drop", "_salt"))
     lists = frequent.groupBy(F.col("_host").alias(of_host)).agg(F.collect_set("_line").alias(drop))
     rows, on = docs.withColumn(of_host, _host(host)), [of_host]
-    if frequent.count() <= BROADCAST_LINES:
+    if seen["rows"] <= BROADCAST_LINES:
         lists = F.broadcast(lists)
     else:
         on = [of_host, salt]

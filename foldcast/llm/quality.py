@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from foldcast.llm.shared import hashed_fold, keyed, need_columns, stored
+from foldcast.llm.shared import hashed_fold, keyed, measured, need_columns, stored
 from foldcast.llm.words import release_memory, row_blocks, text_buffer
 
 CHUNK, STEP = 512, 448
@@ -182,8 +182,8 @@ def train_quality_net(docs: DataFrame, labels: DataFrame, may_learn: Column, key
     if len(shares) < 2:
         return float(next(iter(shares), 0.5))
     one = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_key"), "_key").limit(sample) for y in (0, 1)]
-    picked = stored(one[0].unionByName(one[1]), "quality-sample")
-    rows = keyed(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), picked, "_key", "inner")
+    picked, seen = measured(one[0].unionByName(one[1]), "quality-sample")
+    rows = keyed(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), picked, "_key", "inner", rows=seen["rows"])
     rows = stored(rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_n", _chunk_count("_text")), "quality-texts")
     by_hash = [rows.where(F.col("_y") == y).orderBy(F.xxhash64("_key"), "_key", F.xxhash64("_text"), "_id").limit(sample) for y in (0, 1)]
     ids = sample_rows([r for part in by_hash for r in part.select("_y", "_n", "_id").collect()], budget)
@@ -192,7 +192,12 @@ def train_quality_net(docs: DataFrame, labels: DataFrame, may_learn: Column, key
         return float(next((r["_y"] for r in got), 0.5))
     packed = [np.frombuffer(r["chunks"], dtype=np.uint8).reshape(-1, CHUNK) for r in got]
     y = np.array([r["_y"] for r in got], dtype=np.float32)
-    net = ByteNet.fresh().fit(np.concatenate(packed), np.repeat(np.arange(len(packed)), [len(p) for p in packed]), y)
+    row = np.repeat(np.arange(len(packed)), [len(p) for p in packed])
+    chunks = np.concatenate(packed)
+    del got, packed  # the driver keeps one copy of the chunks, and none after the fit
+    net = ByteNet.fresh().fit(chunks, row, y)
+    del chunks, row
+    release_memory()
     net.shift = float(np.log(shares[1] / shares[0]))  # classes were weighted alike
     return net
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldcast.llm.components import components
-from foldcast.llm.shared import BROADCAST_KEYS, free_name, keyed, need_columns, stored
+from foldcast.llm.shared import BROADCAST_KEYS, free_name, keyed, measured, need_columns, stored
 from foldcast.llm.words import as_long, batch_words, mix
 
 SHINGLE = 5
@@ -105,9 +105,9 @@ def _frequency_classes(sketches: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts with the columns of ``wanted`` (key, f1, cid, ...): broadcast when its counted rows are few enough, else shuffled by key."""
-    small = wanted.count() <= BROADCAST_KEYS
+def _texts_of(docs: DataFrame, wanted: DataFrame, n_wanted: int, key: str, text: str) -> DataFrame:
+    """Texts with the columns of ``wanted`` (key, f1, cid, ...): broadcast when its rows are few enough, else shuffled by key."""
+    small = n_wanted <= BROADCAST_KEYS
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     return rows.join(F.broadcast(wanted) if small else wanted.hint("merge"), F.col("_key").eqNullSafe(F.col("key"))).select("_text", *(c for c in wanted.columns if c != "key"))
 
@@ -275,18 +275,19 @@ def _parts(n: str) -> Column:
     return F.greatest(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)), F.ceil(F.sum(n) / (2 * BLOCK_TOKENS)))
 
 
-def _narrow_join(df: DataFrame, narrow: DataFrame, how: str = "inner") -> DataFrame:
-    """Join by cid with a stored table of narrow rows: broadcast when its counted rows are few enough, else shuffled."""
-    return df.join(F.broadcast(narrow) if narrow.count() <= BROADCAST_KEYS else narrow.hint("merge"), "cid", how)
+def _narrow_join(df: DataFrame, narrow: DataFrame, rows: int, how: str = "inner") -> DataFrame:
+    """Join by cid with a stored table of narrow rows: broadcast when they are few enough, else shuffled."""
+    return df.join(F.broadcast(narrow) if rows <= BROADCAST_KEYS else narrow.hint("merge"), "cid", how)
 
 
 def _grouped(classes: DataFrame) -> DataFrame:
     """(cid, n, block): similar classes in one group, by two rounds of least labels over minhash bands; large groups cut by hash."""
     bands = stored(classes.select("cid", F.explode("bands").alias("band")), "join-bands")
-    labels = bands.select("cid", F.col("cid").alias("label")).distinct()
+    labelled = bands.withColumn("label", F.col("cid"))
     for _ in range(2):
-        low = bands.join(labels, "cid").groupBy("band").agg(F.min("label").alias("label"))
+        low = labelled.groupBy("band").agg(F.min("label").alias("label"))
         labels = bands.join(low, "band").groupBy("cid").agg(F.min("label").alias("label"))
+        labelled = bands.join(labels, "cid")
     labels = stored(labels, "join-groups")
     sized = classes.select("cid", "n").join(labels, "cid")
     sizes = sized.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"))
@@ -301,27 +302,26 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     sketches = stored(_sketches(docs, key, text).withColumn("rid", F.monotonically_increasing_id()), "join-sketches")
     rows = sketches.where("cell_block IS NULL").select("key", "n", "f1", "f2", "rid", "bands")
-    classes = stored(
+    classes, seen = measured(
         rows.where("n > 0").groupBy("n", "f1", "f2").agg(
             F.min("rid").alias("cid"), F.min_by("key", "rid").alias("rep"), F.min("key").alias("least"), F.min_by("bands", "rid").alias("bands")
         ),
-        "join-classes",
+        "join-classes", tokens=F.sum(F.col("n") - F.ceil(0.75 * F.col("n")) + 1),
     )
     weights = spark.sparkContext.broadcast(_frequency_classes(sketches))
     wanted = classes.select(F.col("rep").alias("key"), "f1", "cid")
-    total = classes.agg(F.sum(F.col("n") - F.ceil(0.75 * F.col("n")) + 1)).first()[0] or 0
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PREFIX_ROWS))
-    shared = stored(_shared_tokens(_prefixes(_texts_of(docs, wanted, key, text), weights), partitions), "join-shared")
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(seen["tokens"] or 0) // PREFIX_ROWS))
+    shared = stored(_shared_tokens(_prefixes(_texts_of(docs, wanted, seen["rows"], key, text), weights), partitions), "join-shared")
     weights.destroy()
 
     # Classes that share enough prefix tokens with others of a size that may link; the rest have no link.
     reach = shared.groupBy("cid").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    active = stored(reach.where(F.col("c") >= _need("n", "low", "high")).select("cid"), "join-active")
-    shared = stored(_narrow_join(shared.select("token", "cid"), active, "left_semi"), "join-active-tokens")
-    placed = stored(_grouped(_narrow_join(classes.select("cid", "n", "bands"), active, "left_semi")), "join-placed")
+    active, seen = measured(reach.where(F.col("c") >= _need("n", "low", "high")).select("cid"), "join-active")
+    shared = stored(_narrow_join(shared.select("token", "cid"), active, seen["rows"], "left_semi"), "join-active-tokens")
+    placed = stored(_grouped(_narrow_join(classes.select("cid", "n", "bands"), active, seen["rows"], "left_semi")), "join-placed")
     filled = placed.groupBy("block").agg((F.count(F.lit(1)) == 1).alias("alone"))
-    chosen = stored(wanted.join(placed.select("cid", "block"), "cid").join(filled, "block").select("key", "f1", "cid", "block", "alone"), "join-chosen")
-    sets = stored(_sets(_texts_of(docs, chosen, key, text)), "join-sets")
+    chosen, seen = measured(wanted.join(placed.select("cid", "block"), "cid").join(filled, "block").select("key", "f1", "cid", "block", "alone"), "join-chosen")
+    sets = stored(_sets(_texts_of(docs, chosen, seen["rows"], key, text)), "join-sets")
 
     # Inside blocks.
     schema = "cid long, label long"
@@ -331,15 +331,15 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     some = F.slice(F.array_sort(F.collect_set(F.struct("cid", "n"))), 1, REPRESENTATIVES)
     few = info.where(F.col("parts") > 1).groupBy("grp", "block", "label").agg(some.alias("some")).select("grp", "label", F.inline("some"))
     fit = few.groupBy("grp").agg(_parts("n").alias("parts"))
-    few = stored(few.join(fit, "grp").select("cid", "label", F.xxhash64("grp", F.pmod(F.xxhash64("label"), F.col("parts"))).alias("block")), "join-few")
-    met = stored(_narrow_join(sets.select("cid", "tokens"), few.select("cid", "block")).groupBy("block").applyInArrow(lambda t: _join_block(t), schema).distinct(), "join-met")
+    few, seen = measured(few.join(fit, "grp").select("cid", "label", F.xxhash64("grp", F.pmod(F.xxhash64("label"), F.col("parts"))).alias("block")), "join-few")
+    met = stored(_narrow_join(sets.select("cid", "tokens"), few.select("cid", "block"), seen["rows"]).groupBy("block").applyInArrow(lambda t: _join_block(t), schema).distinct(), "join-met")
     merged = few.join(met.withColumnRenamed("label", "met"), "cid").groupBy("label").agg(F.min("met").alias("met"))
     known = info.join(merged, "label", "left").select("cid", "n", "block", F.coalesce("met", "label").alias("comp"))
     heavy = known.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
-    known = stored(known.join(heavy, "comp").select("cid", "n", "block", F.struct("weight", "comp").alias("comp")), "join-known")
+    known, seen = measured(known.join(heavy, "comp").select("cid", "n", "block", F.struct("weight", "comp").alias("comp")), "join-known")
 
     # Across blocks: the token-group matrix of tokens that unconnected classes share.
-    cells = _narrow_join(shared, known)
+    cells = _narrow_join(shared, known, seen["rows"])
     apart = cells.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("block").alias("one"), F.max("block").alias("other"))
     apart = stored(apart.where("low != high AND one != other").select("token"), "join-apart")
     cells = stored(cells.join(apart, "token", "left_semi"), "join-cells")
@@ -355,7 +355,8 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     load = opened.groupBy("block").agg(_parts("n").alias("parts"))
     asks = opened.join(load, "block").select("cid", "block", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"), F.lit(True).alias("asks"))
     members = known.join(load, "block").select("cid", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
-    meet = _narrow_join(sets.select("cid", "tokens"), stored(asks.unionByName(members), "join-meet"))
+    meeting, seen = measured(asks.unionByName(members), "join-meet")
+    meet = _narrow_join(sets.select("cid", "tokens"), meeting, seen["rows"])
     crossed = meet.groupBy("block", "part").applyInArrow(lambda t: _join_opened(t), "a long, b long")
 
     edges = crossed.unionByName(local.select(F.col("cid").alias("a"), F.col("label").alias("b"))).unionByName(met.select(F.col("cid").alias("a"), F.col("label").alias("b")))
@@ -377,7 +378,8 @@ def with_groups(docs: DataFrame, text: str = "text", group: str = "_group") -> D
     need_columns(docs, text)
     rows, rid = numbered(docs.drop(group))
     label = F.when(F.col("n_shingles") > 0, F.col("component_id")).alias(group)
-    return keyed(rows, stored(link_components(rows, rid, text).select(rid, label), "join-groups-of-rows"), rid, "left").drop(rid)
+    groups, seen = measured(link_components(rows, rid, text).select(rid, label), "join-groups-of-rows")
+    return keyed(rows, groups, rid, "left", rows=seen["rows"]).drop(rid)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -387,4 +389,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     joined = stored(link_components(rows, rid, text).select(rid, "component_id"), "join-rows-of")
     least = F.min(F.struct(F.col("k").isNull(), F.col("k").alias("_key"), F.col("r"))).alias("_first")
     kept = rows.select(F.col(rid).alias("r"), F.col(key).alias("k")).join(joined.select(F.col(rid).alias("r"), F.col("component_id").alias("c")), "r").groupBy("c").agg(least).select(F.col("_first.r").alias(rid))
-    return keyed(rows, stored(kept, "join-kept"), rid).select(*docs.columns)
+    kept, seen = measured(kept, "join-kept")
+    return keyed(rows, kept, rid, rows=seen["rows"]).select(*docs.columns)

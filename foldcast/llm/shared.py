@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from foldcast.session import scratch_path
 
@@ -17,9 +17,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi", limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Join ``df`` with a stored table of narrow rows: broadcast when its counted rows are within ``limit``, else shuffled."""
-    small = keys.count() <= limit
+def measured(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """``stored``, and aggregates of the rows (``rows``: their number) taken while they are written, so that no job reads them again."""
+    seen = Observation()
+    table = stored(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in figures.items())), name)
+    return table, seen.get
+
+
+def keyed(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi", limit: int = BROADCAST_KEYS, rows: int | None = None) -> DataFrame:
+    """Join ``df`` with a stored table of narrow rows: broadcast when its rows (counted, unless given) are within ``limit``, else shuffled."""
+    small = (keys.count() if rows is None else rows) <= limit
     return df.join(F.broadcast(keys) if small else keys.hint("merge"), on, how)
 
 

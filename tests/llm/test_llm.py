@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foldcast.llm import bpe, classlm, decontam, lines, pii, quality, rules, secrets, setjoin, shards
+from foldcast.llm import bpe, classlm, decontam, lines, pii, quality, rules, secrets, setjoin, shards, shared
 from foldcast.llm.queries import VOCABULARY
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, label int"
@@ -84,6 +84,33 @@ def test_keep_one_of_each_component(spark, texts):
     assert setjoin.keep_one(docs.limit(0)).count() == 0
 
 
+def test_tables_are_counted_as_they_are_written(spark, texts, monkeypatch):
+    docs = frame(spark, texts)
+    table, seen = shared.measured(docs.where("doc_id < 0"), "none", least=F.min("doc_id"))
+    assert seen == {"rows": 0, "least": None} and table.schema == docs.schema
+
+    def again(self):
+        raise AssertionError("a job of its own counts a stored table")
+
+    for name in ("count", "isEmpty", "first"):
+        monkeypatch.setattr(type(docs), name, again)
+    label, _ = brute_components(texts)
+    assert sorted(r.doc_id for r in setjoin.keep_one(docs).collect()) == sorted(set(label))
+    paged = {r.doc_id: r["_group"] for r in setjoin.with_groups(docs).collect()}
+    assert all((paged[i] == paged[j]) == (label[i] == label[j]) for i in range(5, len(texts)) for j in range(5, i))
+    assert len(lines.drop_boilerplate(docs, pages=setjoin.with_groups(docs.select("source", "text"))).collect()) == len(texts)
+
+
+def test_groups_are_two_rounds_of_least_labels(spark):
+    bands = {3: [1, 2], 5: [2, 9], 6: [9, 4], 7: [4, 4], 8: [5], 9: [4, 8], 10: [8]}
+    want = {c: c for c in bands}
+    for _ in range(2):
+        low = {b: min(want[c] for c in bands if b in bands[c]) for own in bands.values() for b in own}
+        want = {c: min(low[b] for b in bands[c]) for c in bands}
+    got = setjoin._grouped(spark.createDataFrame([(c, 10, b) for c, b in bands.items()], "cid long, n long, bands array<long>")).collect()
+    assert {r["cid"]: r["grp"] for r in got} == want and len(set(want.values())) == 4
+
+
 def test_repeated_rows_join(spark):
     docs = frame(spark, ["a b c d e f", "z"])
     assert {(r.doc_id, r.component_id) for r in setjoin.link_components(docs.unionByName(docs)).collect()} == {(0, 0), (1, 1)}
